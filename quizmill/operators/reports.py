@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill import constants as C
+from quizmill.functions import records as R
+from quizmill.functions import text as X
 
 FIELDS = ["judge", "passed", "issues", "feedback", "blocking"]
 
@@ -32,3 +34,43 @@ def fan_in(reports: DataFrame, item: str, order: str, judges: list[str] | None =
             F.transform(ordered, lambda r: F.struct(r["judge"].alias("key"), r.alias("value")))
         ).alias("reports"),
     )
+
+
+def cue_report(
+    selected: Column, answer: Column, confidence: Column, difficulty: Column,
+    cue_type: Column, cue_text: Column, error: Column,
+) -> Column:
+    """Solver report: fails on a concrete cue in a confidently solved hard item."""
+    found = R.cue_found(selected, answer, confidence, difficulty, cue_type, cue_text)
+    broken = error.isNotNull()
+    return F.struct(
+        F.lit("adversarial_solver").alias("judge"),
+        (~broken & ~found).alias("passed"),
+        F.when(broken, F.array(F.concat(F.lit("solver_error:"), error)))
+        .when(found, F.array(F.lit("adversarial:spurious_cues_found")))
+        .otherwise(R.EMPTY)
+        .alias("issues"),
+        F.when(
+            ~broken & found,
+            F.concat(
+                F.lit("A concrete "), cue_type, F.lit(" cue was named: "), X.strip(cue_text),
+                F.lit(". Rebalance the options."),
+            ),
+        ).otherwise(F.lit("")).alias("feedback"),
+        (~broken & found & cue_type.isin(C.BLOCKING_CUES)).alias("blocking"),
+    )
+
+
+def baseline_accept(df: DataFrame) -> DataFrame:
+    """Controls: every draft is published; without one the generation issues are the reason."""
+    failed = F.col("draft").isNull()
+    reasons = F.coalesce("generation_issues", F.array(F.lit("missing_mcq")))
+    return df.withColumn("reasons", F.when(failed, reasons).otherwise(R.EMPTY)).withColumn(
+        "verdict", R.verdict(F.col("reasons"))
+    )
+
+
+def unreported(reasons: Column, report_list: Column) -> Column:
+    """Gate reasons that no failed report has named; repeats are kept."""
+    seen = F.coalesce(R.named_issues(report_list, skip_warnings=False), R.EMPTY)
+    return F.filter(reasons, lambda x: ~F.array_contains(seen, x))
