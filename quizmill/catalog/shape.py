@@ -359,7 +359,7 @@ def finished(df):
         F.col("source").alias("topic"), F.col("lang").alias("subtopic"),
         F.lit(C.DEFAULT_SKILL).alias("skill"),
         F.struct((F.col("level") == "emotion").alias("enabled")).alias("rubric"),
-        "reports", F.col("origin").alias("verdict"), R.EMPTY.alias("reasons"),
+        "reports", F.col("origin").alias("verdict"), R.empty().alias("reasons"),
         F.concat(F.lit("doc-"), "doc_id").alias("anchor_id"), F.lit(1).alias("attempts"),
     )
 

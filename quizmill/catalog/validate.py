@@ -37,12 +37,15 @@ def f01(spark, d):
 
 
 @query("F02_backfill_tier", "chunks", """
-SELECT chunk_id, CASE WHEN coalesce(source_tier, '') = '' AND coalesce(tier, '') = '' THEN 'tier_2' ELSE source_tier END AS source_tier,
- (SELECT count(*) FROM chunks WHERE coalesce(source_tier, '') = '' AND coalesce(tier, '') = '') AS would_set FROM chunks""")
+SELECT chunk_id, CASE WHEN coalesce(source_tier, '') = '' AND coalesce(tier, '') = '' THEN 'tier_2' ELSE source_tier END AS source_tier FROM chunks""")
 def f02(spark, d):
-    docs = V.chunks(spark, d)
-    dry = evidence.backfill_count(docs).select("would_set")  # one row
-    return evidence.backfill_tier(docs, "tier_2").select("chunk_id", "source_tier").join(F.broadcast(dry))
+    return evidence.backfill_tier(V.chunks(spark, d), "tier_2").select("chunk_id", "source_tier")
+
+
+@query("F02_backfill_dry_run", "chunks", """
+SELECT count(*) FILTER (coalesce(source_tier, '') = '' AND coalesce(tier, '') = '') AS would_set, count(*) AS rows FROM chunks""")
+def f02_dry(spark, d):
+    return evidence.backfill_count(V.chunks(spark, d))
 
 
 @query("F03_drop_missing_fields", "qa", """

@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 from quizmill import constants as C
 from quizmill.functions import text as X
 
-LETTERS = X.array_of(C.ANSWER_LABELS)
-EMPTY = F.array().cast("array<string>")
+
+def letters() -> Column:
+    return X.array_of(C.ANSWER_LABELS)
+
+
+def empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 # --- reading a draft -------------------------------------------------------------------
@@ -61,7 +66,7 @@ def citation_ids(values: Column) -> Column:
         ),
     )
     return F.coalesce(
-        F.array_distinct(F.filter(ids, lambda x: F.coalesce(x != "", F.lit(False)))), EMPTY
+        F.array_distinct(F.filter(ids, lambda x: F.coalesce(x != "", F.lit(False)))), empty()
     )
 
 
@@ -99,7 +104,7 @@ def draft_of(prefix: dict[str, str] | None = None) -> Column:
 
 
 def four_options(options: Column) -> Column:
-    return F.coalesce(F.array_sort(F.map_keys(options)) == LETTERS, F.lit(False))
+    return F.coalesce(F.array_sort(F.map_keys(options)) == letters(), F.lit(False))
 
 
 def all_texts(mapping: Column) -> Column:
@@ -107,7 +112,7 @@ def all_texts(mapping: Column) -> Column:
 
 
 def wrong_letters(answer: Column) -> Column:
-    return F.array_except(LETTERS, F.array(answer))
+    return F.array_except(letters(), F.array(answer))
 
 
 def covers_wrong_letters(analysis: Column, answer: Column) -> Column:
@@ -131,7 +136,7 @@ def schema_valid(d: Column) -> Column:
 
 def answer_position(number: Column) -> Column:
     return F.element_at(
-        LETTERS, (F.pmod(F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)) - 1, 4) + 1).cast("int")
+        letters(), (F.pmod(F.greatest(F.coalesce(number, F.lit(1)), F.lit(1)) - 1, 4) + 1).cast("int")
     )
 
 
@@ -216,7 +221,7 @@ def contract_feedback(issues: Column, required: Column, level: Column) -> Column
 
 
 def word_counts(options: Column) -> Column:
-    return F.transform(LETTERS, lambda k: X.word_count(F.try_element_at(options, k)))
+    return F.transform(letters(), lambda k: X.word_count(F.try_element_at(options, k)))
 
 
 def word_gap(options: Column) -> Column:
@@ -242,7 +247,7 @@ def surface_issues(options: Column, gap: Column) -> Column:
 def surface_feedback(issues: Column, options: Column, gap: Column) -> Column:
     counts = F.array_join(
         F.transform(
-            LETTERS,
+            letters(),
             lambda k: F.concat(
                 F.lit("'"), k, F.lit("': "),
                 X.word_count(F.try_element_at(options, k)).cast("string"),
@@ -316,14 +321,14 @@ def preflight_issues(
     guard: Column, report_passed: Column, report_issues: Column, available: Column
 ) -> Column:
     """Guard codes, then those of the early review; a passing guard leaves the review as is."""
-    review = F.coalesce(report_issues, EMPTY)
+    review = F.coalesce(report_issues, empty())
     default = F.when(
         (F.size(review) == 0) & ~F.coalesce(report_passed, F.lit(False)),
         F.array(F.lit("preflight_failed")),
     ).otherwise(review)
     return (
         F.when(~available, guard)
-        .when(F.size(guard) == 0, F.when(report_passed, EMPTY).otherwise(default))
+        .when(F.size(guard) == 0, F.when(report_passed, empty()).otherwise(default))
         .otherwise(F.concat(guard, review))
     )
 
@@ -352,7 +357,7 @@ def single_answer_issues(
         (complete & ~key_ok, "declared_answer_not_judged_correct"),
         (complete & key_ok & ~others_ok, "distractor_not_judged_incorrect"),
     )
-    return F.array_distinct(F.concat(F.coalesce(issues, EMPTY), found))
+    return F.array_distinct(F.concat(F.coalesce(issues, empty()), found))
 
 
 def required_criteria(task: Column) -> Column:
@@ -378,7 +383,7 @@ def rubric_issues(
     found = F.when(F.coalesce(complete, F.lit(False)), per).otherwise(
         F.array(F.lit("emobench_incomplete_report"))
     )
-    given = F.coalesce(issues, EMPTY)
+    given = F.coalesce(issues, empty())
     return F.when(planned_task.isNull(), given).otherwise(
         F.array_distinct(F.concat(given, found))
     )
@@ -414,7 +419,7 @@ def named_issues(reports: Column, skip_warnings: bool) -> Column:
                 F.coalesce(r["issues"], F.array(F.lit("failed"))),
                 lambda i: F.concat(r["judge"], F.lit(":"), i),
             ),
-        ).otherwise(EMPTY)
+        ).otherwise(empty())
 
     return F.flatten(F.transform(reports, one))
 
@@ -452,11 +457,11 @@ def gate_issues(
     limit, least = evidence_limit(difficulty), evidence_limit(difficulty, 4)
     four, texts = four_options(d["options"]), all_texts(d["options"])
     available = F.transform(refs, lambda r: r["chunk_id"])
-    cited = F.array_distinct(F.coalesce(d["cited"], EMPTY))
+    cited = F.array_distinct(F.coalesce(d["cited"], empty()))
     has_answer = F.coalesce(d["answer"] != "", F.lit(False))
     surface = F.when(
         four & texts, surface_issues(d["options"], max_gap(difficulty))
-    ).otherwise(EMPTY)
+    ).otherwise(empty())
 
     def kind(name: str, missing: str, uncited: str) -> tuple:
         ids = ids_of_kind(refs, name)
@@ -497,7 +502,7 @@ def gate_issues(
         ),
     )
     return F.concat(
-        own, F.coalesce(named_issues(reports, skip_warnings=not solver_blocks), EMPTY)
+        own, F.coalesce(named_issues(reports, skip_warnings=not solver_blocks), empty())
     )
 
 

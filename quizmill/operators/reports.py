@@ -48,7 +48,7 @@ def cue_report(
         (~broken & ~found).alias("passed"),
         F.when(broken, F.array(F.concat(F.lit("solver_error:"), error)))
         .when(found, F.array(F.lit("adversarial:spurious_cues_found")))
-        .otherwise(R.EMPTY)
+        .otherwise(R.empty())
         .alias("issues"),
         F.when(
             ~broken & found,
@@ -65,12 +65,12 @@ def baseline_accept(df: DataFrame) -> DataFrame:
     """Controls: every draft is published; without one the generation issues are the reason."""
     failed = F.col("draft").isNull()
     reasons = F.coalesce("generation_issues", F.array(F.lit("missing_mcq")))
-    return df.withColumn("reasons", F.when(failed, reasons).otherwise(R.EMPTY)).withColumn(
+    return df.withColumn("reasons", F.when(failed, reasons).otherwise(R.empty())).withColumn(
         "verdict", R.verdict(F.col("reasons"))
     )
 
 
 def unreported(reasons: Column, report_list: Column) -> Column:
     """Gate reasons that no failed report has named; repeats are kept."""
-    seen = F.coalesce(R.named_issues(report_list, skip_warnings=False), R.EMPTY)
+    seen = F.coalesce(R.named_issues(report_list, skip_warnings=False), R.empty())
     return F.filter(reasons, lambda x: ~F.array_contains(seen, x))

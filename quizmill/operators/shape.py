@@ -137,7 +137,7 @@ def anchor_view(df: DataFrame) -> DataFrame:
         ).alias("title"),
         F.coalesce(optional(df, "summary"), F.lit("")).alias("summary"),
         F.coalesce(optional(df, "content"), F.lit("")).alias("content"),
-        F.coalesce(optional(df, "keywords", "array<string>"), R.EMPTY).alias("keywords"),
+        F.coalesce(optional(df, "keywords", "array<string>"), R.empty()).alias("keywords"),
         F.coalesce(optional(df, "type"), F.lit("")).alias("type"),
         F.coalesce(
             F.nullif(optional(df, "tier"), F.lit("")), optional(df, "source_tier")
@@ -244,7 +244,7 @@ def normalize_blueprint(df: DataFrame) -> DataFrame:
                 F.when(X.blank(fields[n]), fallback[n]).otherwise(fields[n]).alias(n)
                 for n in C.PLAN_TEXT_FIELDS
             ],
-            F.coalesce(rules, R.EMPTY).alias("playbook_bullet_ids"),
+            F.coalesce(rules, R.empty()).alias("playbook_bullet_ids"),
             F.col("level"),
             F.col("difficulty"),
             R.evidence_limit(F.col("difficulty")).alias("evidence_limit"),
@@ -280,7 +280,7 @@ def rubric_plan(
         allowed(relation, C.EA_RELATIONSHIPS, "EA").alias("relationship_type"),
         allowed(owner, C.EA_OWNERS, "EA").alias("problem_owner"),
         allowed(kind, C.EA_QUESTION_TYPES, "EA").alias("question_type"),
-        F.when(enabled, R.required_criteria(task)).otherwise(R.EMPTY).alias("criteria"),
+        F.when(enabled, R.required_criteria(task)).otherwise(R.empty()).alias("criteria"),
     )
 
 
@@ -426,7 +426,7 @@ def assemble_records(df: DataFrame, split: str = "train", playbook_version: str
         references.alias("evidence_refs"),
         F.coalesce(d["distractor_analysis"], none).alias("distractor_analysis"),
         F.struct(
-            F.coalesce(d["audit_steps"], R.EMPTY).alias("steps"),
+            F.coalesce(d["audit_steps"], R.empty()).alias("steps"),
             text("rationale_short").alias("rationale_short"),
             F.lit("internal_audit").alias("visibility"),
         ).alias("reasoning"),
