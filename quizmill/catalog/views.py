@@ -164,7 +164,8 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
         "'evidence:blueprint_mismatch' WHEN 'signup' THEN 'evidence:irrelevant_citation' "
         "WHEN 'view' THEN 'surface_cue:absolute_wording' END AS issue",
         "event_type = 'purchase' AS verified",
-        "concat('evi-', user_id % 40) AS rule_id",
+        "format_string('%s-%05d', element_at(array('evi','err','suc'), CAST(user_id % 40 % 3 AS INT) + 1), "
+        "user_id % 40) AS rule_id",
     )
 
 
@@ -315,7 +316,7 @@ FROM (SELECT doc_id, ord, judge, {_SQL_BASE} AS base,
 SELECT user_id AS item, ts, event_id,
   CASE event_type WHEN 'error' THEN 'evidence:evidence_mismatch' WHEN 'click' THEN 'evidence:blueprint_mismatch'
     WHEN 'signup' THEN 'evidence:irrelevant_citation' WHEN 'view' THEN 'surface_cue:absolute_wording' END AS issue,
-  event_type = 'purchase' AS verified, 'evi-' || (user_id % 40) AS rule_id
+  event_type = 'purchase' AS verified, printf('%s-%05d', (['evi','err','suc'])[user_id % 40 % 3 + 1], user_id % 40) AS rule_id
 FROM events""",
     "fails": """
 SELECT CASE WHEN event_id % 3 = 0 THEN 'evidence:' ELSE '' END || event_type || ':' || user_id || ':' || (event_id % 5) AS issue,
