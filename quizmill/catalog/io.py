@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quizmill.catalog import views as V
 from quizmill.catalog.shape import finished, items_with_reports
 from quizmill.functions import models
-from quizmill.functions.text import json_object
+from quizmill.functions import text as X
 from quizmill.operators import retrieve as RT
 from quizmill.operators import shape as S
 from quizmill.sources import chunks as K
@@ -270,10 +270,10 @@ SELECT item_id, role, CASE WHEN role = 'generator' OR n % 5 = 0 THEN 'primary' E
 def g02(spark, d):
     items = V.recs(spark, d).select(F.col("id").alias("item_id"), "level", F.col("doc_id").alias("n"))
     asked = S.build_requests(items, ["generator", "evidence"], ["n"])
-    out = models.respond(asked, ["item_id"], stub_primary, stub_judge)
+    out = X.with_json_object(models.respond(asked, ["item_id"], stub_primary, stub_judge), "reply", "o")
     return out.select(
         "item_id", "role", "answered_by", "error",
-        F.try_variant_get(json_object(F.col("reply")), "$.n", "bigint").alias("n"),
+        F.try_variant_get("o", "$.n", "bigint").alias("n"),
     )
 
 

@@ -228,9 +228,8 @@ def p12(spark, d):
         "WHEN 2 THEN to_json(named_struct('evidence_refs', concat(cited, cited, array('')))) "
         "ELSE to_json(named_struct('evidence_refs', array_join(cited, ','))) END AS reply",
     )
-    draft = R.typed_draft(X.json_object(F.col("reply")))
-    return df.select(
-        "id", F.array_join(R.with_default_citations(draft, F.col("refs"))["cited"], "|").alias("cited")
+    return R.with_typed_draft(df, "reply", "refs").select(
+        "id", F.array_join("draft.cited", "|").alias("cited")
     )
 
 
@@ -264,7 +263,7 @@ SELECT conv_id, turn, CASE WHEN conv_id % 4 < 2 THEN '' ELSE 'no_json_object' EN
 FROM conversations WHERE role = 'assistant'""")
 def p14(spark, d):
     o = F.col("o")
-    return V.raw(spark, d).select("conv_id", "turn", X.json_object(F.col("reply")).alias("o")).select(
+    return X.with_json_object(V.raw(spark, d), "reply", "o").select(
         "conv_id", "turn", F.when(o.isNull(), "no_json_object").otherwise("").alias("issue"),
         F.md5(F.try_variant_get(o, "$.answer.t", "string")).alias("text_md5"),
         F.try_variant_get(o, "$.n", "bigint").alias("n"),

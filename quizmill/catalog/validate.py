@@ -120,8 +120,7 @@ def f07(spark, d):
         "reply", F.when(k == 5, broken).when(k == 7, listed).when(k == 9, inside)
         .when(k == 11, F.lit("[1]")).otherwise(plain),
     )
-    df = df.select("id", "doc_id", "refs", "level", R.typed_draft(F.try_parse_json("reply")).alias("draft"))
-    df = df.withColumn("draft", R.with_default_citations(F.col("draft"), F.col("refs")))
+    df = R.with_typed_draft(df.select("id", "doc_id", "refs", "level", "reply"), "reply", "refs")
     issues = R.contract_issues(
         F.col("draft"), F.col("refs"), R.answer_position(F.col("doc_id") + 1), F.col("level")
     )
@@ -156,7 +155,7 @@ SELECT id, array_to_string(wc, ',') AS counts, array_to_string(list_filter([CASE
  lambda x: x IS NOT NULL), '|') AS issues FROM v""")
 def f09(spark, d):
     options, gap = F.col("options"), R.max_gap(F.col("difficulty"))
-    counts = F.filter(R.word_counts(options), lambda x: x.isNotNull() & (x >= 0))
+    counts = R.word_counts(options)
     return V.recs(spark, d).select(
         "id", F.array_join(counts.cast("array<string>"), ",").alias("counts"),
         F.array_join(R.surface_issues(options, gap), "|").alias("issues"),

@@ -14,8 +14,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The texts. A file of one row group is read by one task, so a small table is spread over
+    the cores first; a table with enough splits is left as it is."""
+    df = table(spark, d, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").selectExpr(
+    return documents(spark, d).selectExpr(
         "doc_id",
         "concat('doc-', doc_id) AS chunk_id",
         "CASE WHEN doc_id % 10 <> 9 THEN concat('doc-', doc_id) END AS uuid",
@@ -55,7 +63,7 @@ def bench_vecs(spark: SparkSession, d: str) -> DataFrame:
 
 def _option(k: int) -> str:
     return (
-        "array_join(filter(split(text, ' '), "
+        "array_join(filter(words, "
         f"(x, i) -> least(i % (4 + doc_id % 3), 3) = {k}), ' ')"
     )
 
@@ -65,7 +73,7 @@ LIMIT = "CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 6 END"
 
 
 def recs(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").selectExpr(
+    df = documents(spark, d).selectExpr("*", "split(text, ' ') AS words").selectExpr(
         "doc_id",
         "source",
         "lang",

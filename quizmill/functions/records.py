@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill import constants as C
@@ -90,6 +90,12 @@ def typed_draft(draft: Column) -> Column:
     )
 
 
+def with_typed_draft(df: DataFrame, reply: str, refs: str, name: str = "draft") -> DataFrame:
+    """Add the typed draft in a reply, with default citations, parsing the reply once."""
+    df = X.with_json_object(df, reply, "_object").withColumn(name, typed_draft(F.col("_object")))
+    return df.withColumn(name, with_default_citations(F.col(name), F.col(refs))).drop("_object")
+
+
 def draft_of(prefix: dict[str, str] | None = None) -> Column:
     """Typed draft struct from columns of the same names."""
     names = [
@@ -221,11 +227,12 @@ def contract_feedback(issues: Column, required: Column, level: Column) -> Column
 
 
 def word_counts(options: Column) -> Column:
-    return F.transform(letters(), lambda k: X.word_count(F.try_element_at(options, k)))
+    """Words per letter, null where an option is missing. No lambda, so compiled code counts once."""
+    return F.array(*[X.word_count(F.try_element_at(options, F.lit(k))) for k in C.ANSWER_LABELS])
 
 
 def word_gap(options: Column) -> Column:
-    counts = F.transform(F.map_values(options), X.word_count)
+    counts = word_counts(options)
     return F.array_max(counts) - F.array_min(counts)
 
 
@@ -234,8 +241,11 @@ def max_gap(difficulty: Column) -> Column:
 
 
 def surface_issues(options: Column, gap: Column) -> Column:
+    # One text with a separator that is neither letter nor space: no phrase spans two options.
+    joined = F.array_join(F.map_values(options), "\u0001")
+
     def any_option(phrases: list[str]) -> Column:
-        return F.exists(F.map_values(options), lambda x: x.rlike(X.phrase_pattern(phrases)))
+        return joined.rlike(X.phrase_pattern(phrases))
 
     return X.codes(
         (any_option(C.META_PHRASES), "surface_cue:meta_option"),
@@ -245,15 +255,14 @@ def surface_issues(options: Column, gap: Column) -> Column:
 
 
 def surface_feedback(issues: Column, options: Column, gap: Column) -> Column:
-    counts = F.array_join(
-        F.transform(
-            letters(),
-            lambda k: F.concat(
-                F.lit("'"), k, F.lit("': "),
-                X.word_count(F.try_element_at(options, k)).cast("string"),
-            ),
-        ),
+    counts = F.concat_ws(
         ", ",
+        *[
+            F.concat(
+                F.lit(f"'{k}': "), X.word_count(F.try_element_at(options, F.lit(k))).cast("string")
+            )
+            for k in C.ANSWER_LABELS
+        ],
     )
     length = F.concat(
         F.lit("word counts are {"), counts, F.lit("}; keep the gap at most "),

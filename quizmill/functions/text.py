@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill import constants as C
@@ -34,7 +34,7 @@ def codes(*pairs: tuple[Column, Column | str]) -> Column:
 
 def blank(col: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(F.regexp_replace(col, r"(?U)\s+", "") == "", F.lit(True))
+    return F.coalesce(~col.rlike(r"(?U)\S"), F.lit(True))
 
 
 def strip(col: Column) -> Column:
@@ -69,7 +69,7 @@ def tristate_number(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.size(F.regexp_extract_all(col, F.lit(WORD), F.lit(0)))
+    return F.when(col.isNotNull(), F.size(F.regexp_extract_all(col, F.lit(WORD), F.lit(0))))
 
 
 def memory_words(col: Column) -> Column:
@@ -105,10 +105,17 @@ def json_object_text(col: Column) -> Column:
     return F.when(at > 0, F.substr(bare, at))
 
 
-def json_object(col: Column) -> Column:
-    """First JSON object of a reply as a variant, null if there is none."""
-    value = F.try_parse_json(json_object_text(col))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+def with_json_object(df: DataFrame, reply: str, name: str) -> DataFrame:
+    """Add the first JSON object of a reply as a variant, null if there is none.
+
+    Each step is a column of its own, so that a reply is parsed once.
+    """
+    at = f"_{name}"
+    df = df.withColumn(at, json_object_text(F.col(reply)))
+    df = df.withColumn(at, F.try_parse_json(at))
+    return df.withColumn(
+        name, F.when(F.schema_of_variant(at).startswith("OBJECT"), F.col(at))
+    ).drop(at)
 
 
 def flatten_json(col: Column) -> Column:

@@ -11,6 +11,7 @@ from quizmill import constants as C
 from quizmill.functions import text as X
 from quizmill.operators.evidence import first_wins, is_eligible, top_rows
 from quizmill.operators.topk import AnyWord, Bm25, Cosine, WordOverlap, best_matches
+from quizmill.storage import materialize
 
 Search = Callable[[DataFrame, DataFrame, int], DataFrame]
 
@@ -74,20 +75,32 @@ def text_topk(
     asked = queries.select(
         F.col(query_id).alias("query"), F.explode(F.array_distinct(words(F.col(text)))).alias("term")
     )
-    n, mean = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    postings = docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
+    # One pass gives the term counts and, under an empty term, documents and their total length.
+    every = F.lit("")
+    wanted = asked.select("term").union(corpus.sparkSession.createDataFrame([("",)], "term string"))
+    postings = docs.select(
+        F.explode(F.concat(F.array_distinct("tokens"), F.array(every))).alias("term"),
+        F.size("tokens").alias("length"),
     )
+    stats = materialize(
+        postings.join(wanted.distinct(), "term", "left_semi").groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"),
+            F.sum(F.when(F.col("term") == every, F.col("length"))).alias("length"),
+        ),
+        "term-stats",
+    )
+    total = stats.where(F.col("term") == every).first()
+    n, mean = (total["df"], total["length"] / total["df"]) if total else (0, 1.0)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = (
-        asked.join(df, "term")
+    terms = materialize(
+        asked.join(stats, "term")
         .groupBy("query")
         .agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
         .select(
             "query", F.transform("t", lambda x: x["term"]).alias("terms"),
             F.transform("t", lambda x: x["idf"]).alias("idf"),
-        )
+        ),
+        "query-terms",
     )
     return _named(best_matches(terms, docs, Bm25(mean or 1.0), k, force=force), query_id, doc_id)
 

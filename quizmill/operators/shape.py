@@ -120,12 +120,13 @@ def collect_refs(df: DataFrame, item: str = "query_id", rank: str = "rank") -> D
     """Citations per item in rank order. The caller has cut each item to its evidence limit."""
     return (
         df.groupBy(item)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col(rank).alias("rank"), F.col("ref").alias("ref")))
-            ).alias("ranked")
+        .agg(F.map_from_entries(F.collect_list(F.struct(rank, "ref"))).alias("by_rank"))
+        .select(
+            item,
+            F.transform(
+                F.array_sort(F.map_keys("by_rank")), lambda r: F.element_at("by_rank", r)
+            ).alias("refs"),
         )
-        .select(item, F.transform("ranked", lambda x: x["ref"]).alias("refs"))
     )
 
 
@@ -192,16 +193,17 @@ def with_policy(df: DataFrame) -> DataFrame:
     return df.withColumns({n: R.evidence_limit(d, i + 1) for i, n in enumerate(names)})
 
 
-def plan_object(reply: Column) -> Column:
-    """The plan in a reply, taken out of a known wrapper if there is one."""
-    whole = X.json_object(reply)
+def with_plan_object(df: DataFrame, reply: str, name: str) -> DataFrame:
+    """Add the plan in a reply, taken out of a known wrapper if there is one."""
+    df = X.with_json_object(df, reply, "_whole")
     inner = [
         F.when(
-            F.schema_of_variant(R._field(whole, w)).startswith("OBJECT"), R._field(whole, w)
+            F.schema_of_variant(R._field(F.col("_whole"), w)).startswith("OBJECT"),
+            R._field(F.col("_whole"), w),
         )
         for w in C.PLAN_WRAPPERS
     ]
-    return F.coalesce(*inner, whole)
+    return df.withColumn(name, F.coalesce(*inner, F.col("_whole"))).drop("_whole")
 
 
 def normalize_blueprint(df: DataFrame) -> DataFrame:
@@ -209,8 +211,21 @@ def normalize_blueprint(df: DataFrame) -> DataFrame:
 
     Needs columns ``reply, level, difficulty, title, summary``; adds ``missing`` and ``plan``.
     """
-    plan = F.col("_plan")
-    df = df.withColumn("_plan", plan_object(F.col("reply")))
+    base = df.columns
+    df = with_plan_object(df, "reply", "_plan")
+    plan, rubric = F.col("_plan"), F.col("_rubric")
+    df = df.withColumn("_rubric", R._field(plan, "emobench"))
+    rules = F.transform(
+        R.list_field(plan, "playbook_bullet_ids"), lambda v: F.try_variant_get(v, "$", "string")
+    )
+    rubric_fields = ["task", "eu_category", "relationship_type", "problem_owner", "question_type"]
+    df = df.select(
+        *base,
+        F.struct(*[R.text_field(plan, n).alias(n) for n in C.PLAN_TEXT_FIELDS]).alias("_text"),
+        rules.alias("_rules"),
+        F.coalesce(F.try_variant_get(plan, "$.requires_emobench", "string") == "true", F.lit(False)).alias("_asked"),
+        F.struct(*[R.text_field(rubric, n).alias(n) for n in rubric_fields]).alias("_rubric"),
+    )
     title = X.first_text(F.col("title"), F.lit(C.DEFAULT_TITLE))
     fallback = {
         "topic": F.substring(title, 1, C.TOPIC_CHARS),
@@ -222,41 +237,30 @@ def normalize_blueprint(df: DataFrame) -> DataFrame:
         ),
         "clinical_guardrail": F.lit(C.DEFAULT_GUARDRAIL),
     }
-    rules = F.transform(
-        R.list_field(plan, "playbook_bullet_ids"), lambda v: F.try_variant_get(v, "$", "string")
-    )
-    fields = {n: R.text_field(plan, n) for n in C.PLAN_TEXT_FIELDS}
+    fields = {n: F.col("_text")[n] for n in C.PLAN_TEXT_FIELDS}
     missing = X.codes(
         *[(X.blank(fields[n]), n) for n in C.PLAN_TEXT_FIELDS],
-        (rules.isNull(), "playbook_bullet_ids"),
+        (F.col("_rules").isNull(), "playbook_bullet_ids"),
     )
     clinical = F.col("level") == C.CLINICAL
     least = R.evidence_limit(F.col("difficulty"), 4)
-    wants_rubric = (F.col("level") == "emotion") & F.coalesce(
-        F.try_variant_get(plan, "$.requires_emobench", "string") == "true", F.lit(False)
-    )
-    rubric = R._field(plan, "emobench")
+    wants_rubric = (F.col("level") == "emotion") & F.col("_asked")
     return df.select(
-        *[c for c in df.columns if c != "_plan"],
+        *base,
         missing.alias("missing"),
         F.struct(
             *[
                 F.when(X.blank(fields[n]), fallback[n]).otherwise(fields[n]).alias(n)
                 for n in C.PLAN_TEXT_FIELDS
             ],
-            F.coalesce(rules, R.empty()).alias("playbook_bullet_ids"),
+            F.coalesce("_rules", R.empty()).alias("playbook_bullet_ids"),
             F.col("level"),
             F.col("difficulty"),
             R.evidence_limit(F.col("difficulty")).alias("evidence_limit"),
             F.when(clinical, F.greatest(F.lit(2), least)).otherwise(least).alias("min_evidence_refs"),
             F.lit(4).alias("num_options"),
             wants_rubric.alias("requires_emobench"),
-            rubric_plan(
-                wants_rubric,
-                *[R.text_field(rubric, n) for n in (
-                    "task", "eu_category", "relationship_type", "problem_owner", "question_type"
-                )],
-            ).alias("emobench"),
+            rubric_plan(wants_rubric, *[F.col("_rubric")[n] for n in rubric_fields]).alias("emobench"),
         ).alias("plan"),
     )
 
