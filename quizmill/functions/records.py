@@ -226,14 +226,19 @@ def contract_feedback(issues: Column, required: Column, level: Column) -> Column
 # --- surface cues ----------------------------------------------------------------------
 
 
+def _counts(options: Column) -> list[Column]:
+    return [X.word_count(F.try_element_at(options, F.lit(k))) for k in C.ANSWER_LABELS]
+
+
 def word_counts(options: Column) -> Column:
-    """Words per letter, null where an option is missing. No lambda, so compiled code counts once."""
-    return F.array(*[X.word_count(F.try_element_at(options, F.lit(k))) for k in C.ANSWER_LABELS])
+    """Words per letter, null where an option is missing."""
+    return F.array(*_counts(options))
 
 
 def word_gap(options: Column) -> Column:
-    counts = word_counts(options)
-    return F.array_max(counts) - F.array_min(counts)
+    """Longest less shortest option. No lambda and no array: compiled code counts each once."""
+    counts = _counts(options)
+    return F.greatest(*counts) - F.least(*counts)
 
 
 def max_gap(difficulty: Column) -> Column:

@@ -24,8 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quizmill-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quizmill/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def forget_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it when its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
