@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizmill import constants as C
 from quizmill.functions import records as R
@@ -114,7 +115,7 @@ def method_counts(df: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def percent_text(value: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([
         "—" if pd.isna(v) else f"{v * 100:.1f}% [{a * 100:.1f}, {b * 100:.1f}]"
