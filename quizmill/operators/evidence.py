@@ -37,6 +37,11 @@ def eligible_evidence(
     return top_rows(ok, item, order, limit, most)
 
 
+def text_key(text: Column) -> Column:
+    """Short key for grouping by whole texts: the texts themselves are not shuffled."""
+    return F.sha2(text, 256)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key in the given order; copies are reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -157,7 +157,8 @@ def tiered_retrieval(
         query_id, "query", "k", F.least("k", F.greatest(F.lit(1), "tier1_k")).alias("first_k")
     )
     found = first(queries, tier1, max_tier1_k).join(depth, query_id).where("rank <= first_k")
-    found = found.select(query_id, doc_id, "score", "rank")
+    # Used for the expansion and for the result: computed once.
+    found = materialize(found.select(query_id, doc_id, "score", "rank"), "first-stage")
     per_chunk = max(C.EXPANSION_MIN_CHARS, expansion_chars)
     shown = found.join(
         tier1.select(doc_id, F.substring("content", 1, per_chunk).alias("passage")), doc_id
@@ -176,6 +177,7 @@ def tiered_retrieval(
             ),
         ).otherwise(F.col("query")).alias("query"),
     )
+    expanded = materialize(expanded, "expanded")
     related = second(expanded, tier2, max_k).join(
         expanded.select(query_id, (F.col("k") - F.col("n_first")).alias("left")), query_id
     ).where("rank <= left").drop("left")
