@@ -269,14 +269,7 @@ def surface_feedback(issues: Column, options: Column, gap: Column) -> Column:
             for k in C.ANSWER_LABELS
         ],
     )
-    length = F.concat(
-        F.lit("word counts are {"), counts, F.lit("}; keep the gap at most "),
-        gap.cast("string"),
-        F.lit(
-            "; shorten long options or expand short options "
-            "without changing their clinical meaning"
-        ),
-    )
+    length = F.format_string(C.CUE_FEEDBACK_LENGTH, counts, gap)
     text = lambda code: F.when(F.array_contains(issues, code), F.lit(C.CUE_FEEDBACK[code]))
     return F.array_join(
         F.array(

@@ -21,9 +21,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# The two conditions left out are parts of the full one; check.py runs them all.
+@pytest.mark.parametrize(
+    "name", sorted(set(entry.queries()) - {"C02_build_rag_only", "C02_build_rag_judges"})
+)
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     cursor = duck.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
