@@ -258,7 +258,7 @@ def w06(spark, d):
     """A cycle is six hours of the log."""
     log = V.attempts(spark, d).selectExpr(
         "rule_id AS bullet_id",
-        "unix_timestamp(ts) div 21600 - unix_timestamp(TIMESTAMP '2024-01-01') div 21600 + 1 AS cycle",
+        "(unix_timestamp(ts) - unix_timestamp(TIMESTAMP '2024-01-01')) div 21600 + 1 AS cycle",
     )
     cycles = log.agg(F.max("cycle")).first()[0]
     return RU.prune_over_log(V.bullets(spark, d), log, cycles)
