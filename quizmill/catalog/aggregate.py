@@ -8,11 +8,11 @@ from quizmill import constants as C
 from quizmill.catalog import views as V
 from quizmill.catalog.shape import finished, items_with_reports
 from quizmill.catalog.validate import SCHEMA_OK, tri_sql
-from quizmill.functions import records as R
 from quizmill.operators import rates
-from quizmill.operators.shape import validation_status
+from quizmill.operators.shape import assemble_records, validation_status
 from quizmill.plans import evaluate as E
 from quizmill.sources.audit import parse_labels, read_audit_csv
+from quizmill.sources.sinks import write_outputs, write_report
 from quizmill.storage import new_path
 
 QUERIES, ORACLE = {}, {}
@@ -174,7 +174,6 @@ UNION ALL SELECT 1, '| Method | Completed | Record yield (95% CI) | Schema valid
 UNION ALL SELECT 2, '|---|---:|---:|---:|---:|---:|'""")
 def s10(spark, d):
     """Written as text and JSON and read back; intervals are set from the value to be checkable."""
-    from quizmill.sources.sinks import write_report
     e = evaluation(spark, d)
     fixed = e.metrics.withColumn("ci95_low", F.col("value") / 2).withColumn("ci95_high", (1 + F.col("value")) / 2)
     path = new_path(spark, "report")
@@ -190,7 +189,13 @@ c AS (SELECT method, count(*) FILTER (origin = 'verified') AS n_verified, count(
 SELECT rates.*, n_verified, n_quarantine FROM rates JOIN c USING (method)""")
 def c04(spark, d):
     """End to end: finished records and labels are written to their file forms, then compared."""
-    from quizmill.plans.evaluate import evaluate_files, write_inputs
-    paths = write_inputs(records(spark, d), V.expert(spark, d), new_path(spark, "evaluate"))
-    e = evaluate_files(spark, *paths)
+    base = new_path(spark, "evaluate")
+    paths = (f"{base}/verified", f"{base}/quarantine", f"{base}/audit")
+    # Every retrieved source counts as cited, so that the records keep what the SQL looks at.
+    items = records(spark, d).withColumn(
+        "draft", F.col("draft").withField("cited", F.transform("refs", lambda r: r["chunk_id"]))
+    )
+    write_outputs(assemble_records(items), *paths[:2])
+    V.expert(spark, d).select("method", "id", *C.AUDIT_FIELDS).write.option("header", True).csv(paths[2])
+    e = E.evaluate_files(spark, *paths)
     return rounded(e.metrics).join(e.counts.select("method", "n_verified", "n_quarantine"), "method")

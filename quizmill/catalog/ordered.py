@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quizmill import constants as C
 from quizmill.catalog import views as V
-from quizmill.catalog.shape import items_with_reports
 from quizmill.catalog.validate import GATE, gated
 from quizmill.functions import records as R
 from quizmill.operators import attempts as AT

@@ -9,7 +9,6 @@ from quizmill.catalog import views as V
 from quizmill.functions import records as R
 from quizmill.functions import text as X
 from quizmill.operators import shape as S
-from quizmill.sources import jsonl
 
 QUERIES, ORACLE = {}, {}
 

@@ -7,7 +7,6 @@ oracle; ids only decide which defect or label a row carries.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

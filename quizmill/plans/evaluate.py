@@ -72,20 +72,6 @@ RECORD = (
 )
 
 
-def write_inputs(records: DataFrame, labels: DataFrame, base: str) -> tuple[str, str, str]:
-    """Finished items as record files per set plus a label file; returns their paths."""
-    from quizmill.operators.shape import assemble_records
-    from quizmill.sources.sinks import write_outputs
-
-    paths = (f"{base}/verified", f"{base}/quarantine", f"{base}/audit")
-    everything = records.withColumn(  # keep every retrieved reference in the record
-        "draft", F.col("draft").withField("cited", F.transform("refs", lambda r: r["chunk_id"]))
-    )
-    write_outputs(assemble_records(everything), *paths[:2])
-    labels.select("method", "id", *C.AUDIT_FIELDS).write.option("header", True).csv(paths[2])
-    return paths
-
-
 def record_rows(df: DataFrame) -> DataFrame:
     """Record files in the column form of :func:`evaluate`."""
     return df.select(
