@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quizmill.llm import quality
+from quizmill.llm import packing, quality
 
 QUERIES = {
+    "op5_packing": packing.op5_packing,
     "op9_quality": quality.op9_quality,
 }
 ORACLE: dict[str, str] = {}
