@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quizmill.llm import packing, quality
+from quizmill.llm import packing, quality, rans
 
 QUERIES = {
     "op5_packing": packing.op5_packing,
+    "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
 }
 ORACLE: dict[str, str] = {}

@@ -85,6 +85,8 @@ class Encoder:
         self.path, self.limit = path, limit
         self.end = end_id.to_bytes(4, "little")
         self.words = _Words(path)
+        #: Whether 16 bits hold every id.
+        self.narrow = max(self.words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
 
     def ids(self, text: bytes | None) -> bytes:
         if len(self.words) > self.limit:
