@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quizmill.llm import packing, quality, rans
+from quizmill.llm import packing, quality, rans, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_packing": packing.op5_packing,
     "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
