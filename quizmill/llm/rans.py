@@ -36,7 +36,7 @@ from quizmill.llm import tokens
 from quizmill.storage import materialize, new_path
 
 SCALE = 20
-LANES = 1024
+LANES = 4096
 SEGMENT = LANES * 256
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK = SEGMENT
@@ -143,11 +143,13 @@ def _counts(ids: DataFrame, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), width))
-                if len(got) > len(sums):
-                    sums = np.concatenate([sums, np.zeros(len(got) - len(sums), np.int64)])
-                sums[: len(got)] += got
+            # the ids of a batch lie in one buffer, one document after the other
+            offsets = np.frombuffer(batch.column(0).buffers()[1], np.int32)[batch.column(0).offset :]
+            data = batch.column(0).buffers()[2]
+            got = np.bincount(np.frombuffer(data, np.uint8)[offsets[0] : offsets[batch.num_rows]].view(width))
+            if len(got) > len(sums):
+                sums = np.concatenate([sums, np.zeros(len(got) - len(sums), np.int64)])
+            sums[: len(got)] += got
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "n"])
 
@@ -248,8 +250,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=schema.names,
                 )
 
-    # one row per file on the smaller side
-    joined = blocks.join(before, "part").select(
+    # one row of two numbers per file
+    joined = blocks.join(F.broadcast(before), "part").select(
         (F.col("before") + F.col("begin")).alias("offset"), "doc_ids", "lengths", "payload", "crc32"
     )
     return joined.mapInArrow(run, schema)
