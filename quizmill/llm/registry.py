@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quizmill.llm import packing, quality, rans, toxicity
+from quizmill.llm import jaccard, packing, quality, rans, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_packing": packing.op5_packing,
     "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE: dict[str, str] = {}
