@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quizmill.llm import jaccard, packing, quality, rans, toxicity
+from quizmill.llm import jaccard, packing, quality, rans, suffixes, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_packing": packing.op5_packing,
+    "op6_suffixes": suffixes.op6_suffixes,
     "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
