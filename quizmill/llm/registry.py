@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quizmill.llm import jaccard, packing, quality, rans, suffixes, toxicity
+from quizmill.llm import bpe, jaccard, packing, quality, rans, suffixes, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_suffixes": suffixes.op6_suffixes,
