@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quizmill.llm import bpe, jaccard, packing, quality, rans, suffixes, toxicity
+from quizmill.llm import bpe, jaccard, packing, pages, quality, rans, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pages": pages.op3_pages,
     "op5_packing": packing.op5_packing,
     "op6_suffixes": suffixes.op6_suffixes,
     "op8_rans": rans.op8_rans,
