@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizmill.llm import bpe, jaccard, packing, pages, quality, rans, suffixes, toxicity
+from quizmill.llm import bpe, jaccard, lattice, packing, pages, quality, rans, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pages": pages.op3_pages,
     "op5_packing": packing.op5_packing,
     "op6_suffixes": suffixes.op6_suffixes,
+    "op7_lattice": lattice.op7_lattice,
     "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
