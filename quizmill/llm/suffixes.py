@@ -41,7 +41,7 @@ SPAN = LENGTH - ANCHOR  # bytes that can stand before an anchor in one string
 WIDTH = LENGTH + SPAN
 NONE = 0xFF  # stands for bytes beyond a text's ends; never in UTF-8
 BLOCK = 4_000_000
-CHUNK = 1_000_000
+CHUNK = 150_000
 BUCKET = 12_000_000
 LAST = np.iinfo(np.int64).max
 
@@ -68,16 +68,20 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         hashes = hashes[:-step] * FACTORS[step] + hashes[step:]
     hashes = (hashes[:-16] * FACTORS[8] + hashes[8:-8]) * FACTORS[16] + hashes[16:]
     hashes = mix(hashes)
-    window = _fold(hashes, LENGTH - ANCHOR + 1, np.minimum)
-    inside = data != NONE
-    # strings of LENGTH bytes wholly inside a text
-    sums = np.concatenate([[0], np.cumsum(inside, dtype=np.int32)])
-    whole = sums[LENGTH:] - sums[:-LENGTH] == LENGTH
-    least = np.where(whole, window[: len(whole)], U(0))
+    # 32 bits choose; equal ones of a string are all taken
+    rank = (hashes >> U(32)).astype(np.uint32) | np.uint32(1)
     reach = LENGTH - ANCHOR
-    padded = np.concatenate([np.zeros(reach, U), least, np.zeros(reach, U)])
-    most = _fold(padded, reach + 1, np.maximum)[: len(hashes)]
-    at = np.flatnonzero((most != 0) & (hashes[: len(most)] == most))
+    window = _fold(rank, reach + 1, np.minimum)
+    # strings of LENGTH bytes wholly inside a text
+    outside = np.flatnonzero(data == NONE)
+    least = window[: len(data) - LENGTH + 1].copy()
+    cover = np.zeros(len(data) + 1, np.int32)
+    np.add.at(cover, np.maximum(outside - LENGTH + 1, 0), 1)
+    np.add.at(cover, outside + 1, -1)
+    least[np.cumsum(cover)[: len(least)] > 0] = 0
+    padded = np.concatenate([np.zeros(reach, np.uint32), least, np.zeros(reach, np.uint32)])
+    most = _fold(padded, reach + 1, np.maximum)[: len(rank)]
+    at = np.flatnonzero(rank[: len(most)] == most)
     starts = np.cumsum([LENGTH + len(t) for t in texts])
     return data, np.searchsorted(starts, at, side="right"), at, mix(hashes[at] + U(5)) & U((1 << 48) - 1)
 
@@ -161,11 +165,20 @@ def _shared(table: pa.Table) -> pa.Table:
         marks.append(own)
         several.append(np.arange(len(own)) >= one)
     every = np.concatenate(marks)
-    order = np.sort(every)
-    repeated = np.unique(np.concatenate([order[1:][order[1:] == order[:-1]], every[np.concatenate(several)]]))
-    where, out = [], []
+    order = np.argsort(every)
+    ranked = every[order]
+    again = np.zeros(len(every), bool)
+    again[1:] = ranked[1:] == ranked[:-1]
+    again |= np.concatenate(several)[order]
+    # all of an equal run, if one of it is marked
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    again = np.repeat(np.logical_or.reduceat(again, first), np.diff(first, append=len(ranked)))
+    repeated = np.empty(len(every), bool)
+    repeated[order] = again
+    where, out, begin = [], [], 0
     for block, own in zip(blocks, marks, strict=True):
-        kept = own[np.isin(own, repeated, assume_unique=False)]
+        kept = own[repeated[begin : begin + len(own)]]
+        begin += len(own)
         if len(kept):
             where.append(block)
             out.append(_pack6(kept))
@@ -436,12 +449,17 @@ def _cut(buckets: int):
             every = (1 << (SPAN + 1)) - 1
             bits = np.where(own.name > own.least[own.entry], every, masks[own.entry])
             hit = np.flatnonzero(bits)
-            marks, texts = bits[hit], own.owner[hit]
+            marks, texts, place = bits[hit], own.owner[hit], own.place[hit]
             ahead = (own.matrix[own.entry[hit], :LENGTH] != NONE).sum(1)
+            # strings that fit into the text begin so many bytes before the anchor
+            few, many = np.maximum(0, LENGTH - ahead), np.minimum(SPAN, place)
+            full = (marks == every) & (few <= many)
+            names.append(texts[full])
+            spans.append(np.stack([(place - many)[full], (place - few)[full] + LENGTH], 1))
             for j in range(SPAN + 1):
-                got = np.flatnonzero((marks >> j & 1 == 1) & (own.place[hit] >= j) & (ahead >= LENGTH - j))
+                got = np.flatnonzero(~full & (marks >> j & 1 == 1) & (few <= j) & (many >= j))
                 names.append(texts[got])
-                spans.append(own.place[hit[got]] - j)
+                spans.append(np.stack([place[got] - j, place[got] - j + LENGTH], 1))
             texts, begins = np.concatenate(names), np.concatenate(spans)
             order = np.argsort(texts, kind="stable")
             texts, begins = texts[order], begins[order]
@@ -452,11 +470,11 @@ def _cut(buckets: int):
         rows, at = [], 0
         for ids, texts in _chunks(docs):
             for name, text in zip(ids.tolist(), texts, strict=True):
-                edges = np.zeros(len(text) + 1, np.int32)
-                for begin in [starts[at]] if at in starts else []:
-                    np.add.at(edges, begin, 1)
-                    np.add.at(edges, begin + LENGTH, -1)
-                gone = np.cumsum(edges[:-1]) > 0 if at in starts else np.zeros(0, bool)
+                if at in starts:
+                    low, high = (np.bincount(x, minlength=len(text) + 1) for x in starts[at].T)
+                    gone = np.cumsum(low - high)[:-1] > 0
+                else:
+                    gone = np.zeros(0, bool)
                 runs = np.diff(gone.astype(np.int8), prepend=0, append=0)
                 a, b = np.flatnonzero(runs == 1).tolist(), np.flatnonzero(runs == -1).tolist()
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if a else text
