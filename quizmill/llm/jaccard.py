@@ -222,22 +222,35 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Of one group: pairs of texts of different parts that the sketches don't rule out."""
-    order = np.argsort(table.column("n").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
+def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Of one group: its ids, and for each the later ones that the sketches don't rule out."""
+    table = table.take(pa.array(np.argsort(table.column("n").to_numpy(), kind="stable")))
     sid, part, n = (table.column(c).to_numpy() for c in ("sid", "part", "n"))
     bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(-1, BITS // 64)
-    out = []
     for k in range(len(sid)):
-        end = int(np.searchsorted(n, n[k] * 100 // NUM, side="right"))
-        rest = slice(k + 1, end)
+        rest = slice(k + 1, int(np.searchsorted(n, n[k] * 100 // NUM, side="right")))
         apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
         near = _near(n[rest], n[k], apart) & (part[rest] != part[k])
-        for j in (k + 1 + np.flatnonzero(near)).tolist():
-            out.append((min(sid[k], sid[j]), max(sid[k], sid[j])))
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield sid, k, k + 1 + np.flatnonzero(near)
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Of one group: pairs of texts of different parts that the sketches don't rule out."""
+    a, b = [], []
+    for sid, k, others in _meetings(table):
+        a.append(np.minimum(sid[k], sid[others]))
+        b.append(np.maximum(sid[k], sid[others]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of one group: the texts that some other is near to by sketch."""
+    found: set[int] = set()
+    for sid, k, others in _meetings(table):
+        if len(others):
+            found.add(int(sid[k]))
+            found.update(sid[others].tolist())
+    return pa.table({"sid": pa.array(sorted(found), pa.int64())})
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -273,7 +286,7 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
         found = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
         return found.mapInArrow(_by_sketch, "a long, b long")
 
-    pairs = materialize(promising(shared.where(F.col("b").isNotNull()).select("a", "b").distinct()), "pairs")
+    pairs = materialize(shared.where(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
     groups = shared.where(F.col("members").isNotNull()).groupBy(F.col("a").alias("name")).agg(F.first("members").alias("members"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,37 +295,48 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
                 own = np.frombuffer(raw.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own)), pa.array(own)], names=["name", "sid"])
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        wanted = candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        wanted = wanted.join(classes, "sid").select("sid", F.col("id").alias(id_col))
+    near = materialize(promising(pairs), "pairs")
+    listed = materialize(
+        groups.mapInArrow(members, "name long, sid long").join(classes.select("sid", "n", "sketch"), "sid"), "members"
+    )
+    meeting = listed.withColumn("part", F.col("sid")).groupBy("name").applyInArrow(_meet, "sid long")
+    # every text that may be compared
+    wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).union(meeting).distinct()
+    wanted = wanted.join(classes, "sid").select("sid", F.col("id").alias(id_col))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # an id may stand for several texts
+            names = batch.column(0).to_pylist()
+            sets = [(n, s.tobytes()) for n, s in zip(names, _sets(batch.column(1)), strict=True) if identity(s)[0] == n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["sid", "items"]
+            )
 
-        def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [s.tobytes() for s in _sets(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["sid", "items"])
+    sets = materialize(
+        texts.join(wanted, id_col).select("sid", "text").mapInArrow(collect, "sid long, items binary"), "sets"
+    )
 
-        sets = texts.join(wanted, id_col).select("sid", "text").mapInArrow(collect, "sid long, items binary")
-        sets = materialize(sets.dropDuplicates(["sid"]), "sets")
-        one, two = (sets.select(F.col("sid").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
+    def verified(candidates: DataFrame) -> DataFrame:
+        placed = sets.repartition("sid")  # one exchange for both joins
+        one, two = (placed.select(F.col("sid").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
         both = candidates.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
         return materialize(both.mapInArrow(_by_sets, "a long, b long"), "links")
 
-    found = verified(pairs)
+    found = verified(near)
     parts = materialize(components(found), "parts")
-    listed = groups.mapInArrow(members, "name long, sid long").join(
-        parts.select(F.col("node").alias("sid"), "component"), "sid", "left"
-    ).withColumn("part", F.coalesce("component", "sid")).drop("component")
-    listed = materialize(listed, "members")
-    open_groups = listed.groupBy("name").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    placed = listed.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
+        "part", F.coalesce("component", "sid")
+    )
+    open_groups = placed.groupBy("name").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
     rest = (
-        listed.join(open_groups.select("name"), "name", "left_semi")
-        .join(classes.select("sid", "n", "sketch"), "sid")
+        placed.join(open_groups.select("name"), "name", "left_semi")
         .select("name", "sid", "part", "n", "sketch")
         .groupBy("name")
         .applyInArrow(_across, "a long, b long")
     )
-    more = materialize(rest.distinct().join(found, ["a", "b"], "left_anti"), "more")
-    return found.union(verified(more)) if more.head(1) else found
+    more = materialize(rest.distinct().join(near, ["a", "b"], "left_anti"), "more")
+    return found.union(verified(more))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
