@@ -1,3 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by the next.
 
-STAGES = []
+toxicity       documents that it scores 0.5 or more go
+quality        documents that fail the base rule or are judged unfit go
+near_copies    one document of each class of near copies stays: the one with the smallest id
+repeats        passages of 50 bytes or more that an earlier document has go; documents left without
+               text stay, with an empty one
+packing        a row per piece of a document in a sequence of at most 4,096 tokens
+
+The first four return the columns of ``documents``. Their languages, sources and ids are carried along
+and never looked at.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quizmill.llm import jaccard, packing, quality, suffixes, toxicity
+from quizmill.session import ship_package
+from quizmill.storage import new_path
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ``ids``, in their own columns."""
+    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+
+
+def clean_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    model = toxicity.fit_folds(spark, docs, sf_dir)
+    scored = toxicity.score(docs, model, passages=False)
+    return scored.where(F.col("score") < 0.5).select(docs.columns)
+
+
+def clean_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return _keep(docs, quality.label(docs.select("doc_id", "text")).where("kept").select("doc_id"))
+
+
+def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    classes = jaccard.classify(docs.select("doc_id", "text"))
+    return _keep(docs, classes.where("doc_id = component_id").select("doc_id"))
+
+
+def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    cut = suffixes.remove_repeats(docs)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
+    return cut.select(*(own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
+
+
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", clean_toxicity),
+    ("quality", clean_quality),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("packing", pack),
+]
+
+#: The model of the first stage and the packing are not SQL; tests replay the stages by brute force.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"pipeline_{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

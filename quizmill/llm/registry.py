@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from quizmill.llm import bpe, jaccard, lattice, packing, pages, quality, rans, suffixes, toxicity
+import corpus_pipeline
+from quizmill.llm import bpe, jaccard, lattice, packing, pages, quality, quotes, rans, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pages": pages.op3_pages,
+    "op4_quotes": quotes.op4_quotes,
     "op5_packing": packing.op5_packing,
     "op6_suffixes": suffixes.op6_suffixes,
     "op7_lattice": lattice.op7_lattice,
     "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_quotes": quotes.SQL,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -29,9 +29,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizmill.llm.shingles import LETTERS, U, mix, numbers
 
@@ -89,11 +91,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 FACTORS = numbers(32, 21)
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    keys = [("id", "ascending"), ("text", "ascending")]
+    return table.take(pc.sort_indices(table, sort_keys=keys)) if table.num_rows else table
+
+
 def _chunks(table: pa.Table):
     """(ids, texts) of bounded size, in an order that doesn't depend on the exchange."""
-    order = table.select(["id", "text"]).sort_by([("id", "ascending")]) if table.num_rows else table
+    table = _ordered(table)
     ids, texts, size = [], [], 0
-    for name, text in zip(order.column("id"), order.column("text"), strict=True):
+    for name, text in zip(table.column("id"), table.column("text"), strict=True):
         raw = text.as_py() or b""
         ids.append(LAST if name.as_py() is None else name.as_py())
         texts.append(raw)
@@ -434,8 +441,11 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
     })
 
 
-def _cut(buckets: int):
+def _cut(buckets: int, whole: bool):
+    """``whole``: with the texts and spans."""
+
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs = _ordered(docs)
         names, spans = [], []
         own = _Suffixes(docs, found, buckets) if found.num_rows else None
         starts: dict[int, np.ndarray] = {}
@@ -465,7 +475,7 @@ def _cut(buckets: int):
             texts, begins = texts[order], begins[order]
             first = np.flatnonzero(np.diff(texts, prepend=-1))
             starts = {
-                int(texts[a]): begins[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(texts)], strict=True)
+                int(texts[a]): begins[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(texts)][: len(first)], strict=True)
             }
         rows, at = [], 0
         for ids, texts in _chunks(docs):
@@ -479,28 +489,39 @@ def _cut(buckets: int):
                 a, b = np.flatnonzero(runs == 1).tolist(), np.flatnonzero(runs == -1).tolist()
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if a else text
                 rows.append((None if name == LAST else name, len(text), len(text) - len(kept), len(a),
-                             hashlib.sha256(kept).hexdigest(), kept, list(zip(a, b, strict=True))))
+                             hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else "",
+                             list(zip(a, b, strict=True)) if whole else []))
                 at += 1
         cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({
+        out = {
             "id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()),
             "n_removed": pa.array(cols[2], pa.int64()), "n_spans": pa.array(cols[3], pa.int64()),
-            "kept_sha256": pa.array(cols[4], pa.string()), "kept": pa.array(cols[5], pa.binary()),
-            "spans": pa.array([[{"start": x, "end": y} for x, y in s] for s in cols[6]], span),
-        })
+            "kept_sha256": pa.array(cols[4], pa.string()),
+        }
+        if whole:
+            out["text"] = pa.array(cols[5], pa.string())
+            out["spans"] = pa.array([[{"start": x, "end": y} for x, y in s] for s in cols[6]], span)
+            out["rest"] = docs.column("rest")
+        return pa.table(out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, ``kept`` (bytes) and ``spans`` removed."""
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True
+) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``whole`` the text that is left (a
+    character that was cut in two goes), the ``spans`` removed (in bytes) and ``rest``, all columns but
+    the id and text as one."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(48, size // BLOCK)
     buckets = max(24, int(size * 0.5) // BUCKET)
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"),
         F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(blocks)).alias("block"),
+        *([F.struct(*others).alias("rest")] if whole else []),
     ).repartition(blocks, "block")
     shared = (
         texts.groupBy("block").applyInArrow(_announce(buckets), ROWS).groupBy("bucket").applyInArrow(_shared, ROWS)
@@ -508,14 +529,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_sort_runs(buckets), ROWS)
     masks = runs.groupBy("bucket").applyInArrow(_merge_bucket, ROWS)
     found = shared.union(masks)
-    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        _cut(buckets),
-        "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
-        "spans array<struct<start: long, end: long>>",
+    schema = T.StructType(
+        [T.StructField("id", T.LongType())]
+        + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+        + [T.StructField("kept_sha256", T.StringType())]
     )
+    if whole:
+        span = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")])
+        schema = schema.add("text", T.StringType()).add("spans", T.ArrayType(span)).add(texts.schema["rest"])
+    out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(buckets, whole), schema)
     return out.withColumnRenamed("id", id_col)
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, whole=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
