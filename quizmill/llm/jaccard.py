@@ -10,8 +10,9 @@ of a pair of that kind both texts do, so no pair is lost.
 
 Candidates are compared by a 1,024-bit parity sketch, whose Hamming distance is a lower bound too, and
 then by the sets themselves. Texts with equal sets are one class from the start. Of the texts that share
-a key, each is compared with the first; where that doesn't join them all, the parts that are left are
-compared by sketch, part against part.
+a key, each is compared with the first. Where that doesn't join them all, rounds follow: of any two parts
+of a group the nearest pairs by sketch are compared, more of them in every round, until no pair is
+left that the sketches allow.
 
 Keys travel packed, as runs of numbers per task and bucket; no pair of one group is written twice and
 pairs of texts that are already joined are never made. A bucket's runs (about ``BUCKET`` bytes, plus
@@ -222,8 +223,9 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """Of one group: its ids, and for each the later ones that the sketches don't rule out."""
+def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Of one group: ids and parts, and for each the later ones of other parts that the sketches don't
+    rule out, with their distance."""
     table = table.take(pa.array(np.argsort(table.column("n").to_numpy(), kind="stable")))
     sid, part, n = (table.column(c).to_numpy() for c in ("sid", "part", "n"))
     bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(-1, BITS // 64)
@@ -231,22 +233,39 @@ def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         rest = slice(k + 1, int(np.searchsorted(n, n[k] * 100 // NUM, side="right")))
         apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
         near = _near(n[rest], n[k], apart) & (part[rest] != part[k])
-        yield sid, k, k + 1 + np.flatnonzero(near)
+        yield sid, part, k, k + 1 + np.flatnonzero(near), apart[near]
+
+
+def _across(most: int):
+    """Of one group: for any two parts the ``most`` pairs that are nearest by sketch, of those that the
+    sketches don't rule out and that weren't refuted."""
+
+    def run(group: pa.Table, refuted: pa.Table) -> pa.Table:
+        known = set(zip(refuted.column("a").to_pylist(), refuted.column("b").to_pylist(), strict=True))
+        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        name = group.column("name")[0].as_py() if group.num_rows else 0
+        for sid, part, k, others, apart in _meetings(group) if group.num_rows else ():
+            for j, d in zip(others.tolist(), apart.tolist(), strict=True):
+                pair = (min(int(sid[k]), int(sid[j])), max(int(sid[k]), int(sid[j])))
+                if pair not in known:
+                    own = best.setdefault((min(part[k], part[j]), max(part[k], part[j])), [])
+                    own.append((d, *pair))
+                    if len(own) > 4 * most:
+                        own.sort()
+                        del own[most:]
+        rows = [p for own in best.values() for p in sorted(own)[:most]]
+        return pa.table({
+            "name": pa.array([name] * len(rows), pa.int64()), "a": pa.array([r[1] for r in rows], pa.int64()),
+            "b": pa.array([r[2] for r in rows], pa.int64()),
+        })
 
-
-def _across(table: pa.Table) -> pa.Table:
-    """Of one group: pairs of texts of different parts that the sketches don't rule out."""
-    a, b = [], []
-    for sid, k, others in _meetings(table):
-        a.append(np.minimum(sid[k], sid[others]))
-        b.append(np.maximum(sid[k], sid[others]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one group: the texts that some other is near to by sketch."""
     found: set[int] = set()
-    for sid, k, others in _meetings(table):
+    for sid, _, k, others, _ in _meetings(table):
         if len(others):
             found.add(int(sid[k]))
             found.update(sid[others].tolist())
@@ -296,10 +315,11 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own)), pa.array(own)], names=["name", "sid"])
 
     near = materialize(promising(pairs), "pairs")
-    listed = materialize(
-        groups.mapInArrow(members, "name long, sid long").join(classes.select("sid", "n", "sketch"), "sid"), "members"
+    listed = materialize(groups.mapInArrow(members, "name long, sid long"), "members")
+    sketches = classes.select("sid", "n", "sketch")
+    meeting = (
+        listed.withColumn("part", F.col("sid")).join(sketches, "sid").groupBy("name").applyInArrow(_meet, "sid long")
     )
-    meeting = listed.withColumn("part", F.col("sid")).groupBy("name").applyInArrow(_meet, "sid long")
     # every text that may be compared
     wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).union(meeting).distinct()
     wanted = wanted.join(classes, "sid").select("sid", F.col("id").alias(id_col))
@@ -314,7 +334,8 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
             )
 
     sets = materialize(
-        texts.join(wanted, id_col).select("sid", "text").mapInArrow(collect, "sid long, items binary"), "sets"
+        # as many rows as there are near copies: never broadcast
+        texts.join(wanted.hint("shuffle_merge"), id_col).select("sid", "text").mapInArrow(collect, "sid long, items binary"), "sets"
     )
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -323,20 +344,30 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
         both = candidates.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
         return materialize(both.mapInArrow(_by_sets, "a long, b long"), "links")
 
-    found = verified(near)
-    parts = materialize(components(found), "parts")
-    placed = listed.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
-        "part", F.coalesce("component", "sid")
-    )
-    open_groups = placed.groupBy("name").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-    rest = (
-        placed.join(open_groups.select("name"), "name", "left_semi")
-        .select("name", "sid", "part", "n", "sketch")
-        .groupBy("name")
-        .applyInArrow(_across, "a long, b long")
-    )
-    more = materialize(rest.distinct().join(near, ["a", "b"], "left_anti"), "more")
-    return found.union(verified(more))
+    found, most = verified(near), 4
+    refuted = materialize(listed.limit(0).select("name", F.col("sid").alias("a"), F.col("sid").alias("b")), "refuted")
+    while True:
+        parts = components(found)
+        placed = listed.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
+            "part", F.coalesce("component", "sid")
+        )
+        placed = materialize(placed.select("name", "sid", "part"), "members")
+        # groups that aren't joined yet; usually few
+        still = placed.groupBy("name").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+        rest = (
+            placed.join(still.select("name"), "name", "left_semi")
+            .join(sketches, "sid")
+            .groupBy("name")
+            .cogroup(refuted.groupBy("name"))
+            .applyInArrow(_across(most), "name long, a long, b long")
+        )
+        rest = materialize(rest, "more")
+        if not rest.head(1):
+            return found
+        joined = verified(rest.select("a", "b").distinct())
+        wrong = rest.join(joined, ["a", "b"], "left_anti").select("name", "a", "b")
+        refuted = materialize(refuted.union(wrong), "refuted")
+        found, most = materialize(found.union(joined), "links"), 8 * most
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
