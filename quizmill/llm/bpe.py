@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 64
-KNOWN = 500_000
+KNOWN = 250_000
 #: Words of one query, and bytes of text handled at a time.
-WORDS, CHUNK = 40_000, 2_000_000
+WORDS, CHUNK = 10_000, 1_000_000
 
 #: ``spot``: word * 65536 + position; ``next``, ``after``: spot and id of the neighbour to the right.
 CONTRACT = """
@@ -84,7 +84,7 @@ class Bpe:
                     pairs.append((left << 32) + right)
                     merged.append(rank)
         self.db = duckdb.connect(
-            config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False}
+            config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False}
         )
         self.fill("merges", {"pair": pairs, "merged": merged})
         self.fill("tokens", {
