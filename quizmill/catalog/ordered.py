@@ -289,7 +289,7 @@ def u04(spark, d):
 
 @query("C03_learn", "recs reports bullets", FAIL_ROWS + f""",
 ls AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC, pos DESC) AS age FROM fr),
-o AS (SELECT issue, struct_pack(a := doc_id, b := pos) AS seq, row_number() OVER (PARTITION BY issue ORDER BY doc_id, pos) AS rn FROM ls WHERE age <= 500),
+o AS (SELECT issue, struct_pack(a := doc_id, b := pos) AS seq, row_number() OVER (PARTITION BY issue ORDER BY doc_id, pos) AS rn FROM ls),
 cr AS (SELECT issue, seq FROM o WHERE rn = 3), {CROSS.strip()},
 us AS (SELECT (SELECT min(bullet_id) FROM bullets b WHERE b.pos = gate.doc_id % 40) AS bullet_id, len(issues) = 0 AS ok FROM gate),
 ct AS (SELECT bullet_id, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM us GROUP BY bullet_id)

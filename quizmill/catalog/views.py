@@ -14,11 +14,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """The texts. A file of one row group is read by one task, so a small table is spread over
-    the cores first; a table with enough splits is left as it is."""
-    df = table(spark, d, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return table(spark, d, "documents")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

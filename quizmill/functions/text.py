@@ -120,13 +120,10 @@ def with_json_object(df: DataFrame, reply: str, name: str) -> DataFrame:
 
 def flatten_json(col: Column) -> Column:
     """All text values of a JSON text at any depth, in order, joined by single blanks."""
-    slash, quote = "\ue001", "\ue000"
-    safe = F.replace(F.replace(col, F.lit("\\\\"), F.lit(slash)), F.lit('\\"'), F.lit(quote))
-    tokens = F.regexp_extract_all(safe, F.lit(r'"[^"]*"\s*:?'), F.lit(0))
+    tokens = F.regexp_extract_all(col, F.lit(r'"(?:[^"\\]|\\.)*+"\s*:?'), F.lit(0))
     values = F.filter(tokens, lambda t: ~t.endswith(":"))
 
     def plain(token: Column) -> Column:
-        text = F.replace(F.replace(token, F.lit(slash), F.lit("\\\\")), F.lit(quote), F.lit('\\"'))
-        return F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0))
+        return F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
 
     return F.array_join(F.filter(F.transform(values, plain), lambda x: x != ""), " ")

@@ -27,15 +27,35 @@ def parse_labels(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Labels of audit files; file order decides between duplicate keys."""
-    raw = spark.read.option("header", True).csv(path)
+    """Labels of audit files; file order decides between duplicate keys.
+
+    Quotes inside a field are doubled and fields may hold line breaks. Columns are taken by name,
+    so files may have them in different orders.
+    """
+    first = F.substring_index(F.decode("content", "UTF-8"), "\n", 1)
+    heads = spark.read.format("binaryFile").load(path).groupBy(first.alias("head")).agg(
+        F.collect_list("path").alias("paths")
+    )
+    # one row per distinct header line
+    parts = [_read_alike(spark, row.paths) for row in heads.collect()]
+    if not parts:
+        raise ValueError("Expert audit CSV: no file found")
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return parse_labels(rows, ["_file", "_at"])
+
+
+def _read_alike(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of files with the same header."""
+    raw = spark.read.csv(
+        paths, header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False
+    )
     names = {c.strip().lstrip("﻿"): c for c in raw.columns}
     if not {"method", "id"} <= set(names):
         raise ValueError("Expert audit CSV requires columns: method,id")
-    rows = raw.select(
+    return raw.select(
         *[F.col(f"`{c}`").alias(n) for n, c in names.items()],
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    return parse_labels(rows, ["_file", "_block", "_at"])

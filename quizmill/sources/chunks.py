@@ -83,10 +83,17 @@ def read_collection(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return spark.read.format(fmt).load(path).drop("_id")
 
 
-def upsert_columns(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Take the updates' columns where the key matches, keep the table's elsewhere."""
+def upsert_columns(
+    table: DataFrame, updates: DataFrame, key: str, order: list[str] | None = None
+) -> DataFrame:
+    """Take the updates' columns where the key matches, keep the table's elsewhere.
+
+    Of updates that repeat a key the greatest in ``order`` counts (by default, of a hash of the
+    row), so the table keeps its number of rows.
+    """
     changed = [c for c in updates.columns if c != key]
-    new = updates.select(key, F.struct(*changed).alias("_new"))
+    rank = F.struct(*order) if order else F.xxhash64(*changed)
+    new = updates.groupBy(key).agg(F.max_by(F.struct(*changed), rank).alias("_new"))
     joined = table.join(new, key, "left")
     out = {
         c: F.coalesce(F.col("_new")[c], F.col(c)) if c in table.columns else F.col("_new")[c]

@@ -177,3 +177,13 @@ def test_audit_part_stays_out_of_verified(spark, tmp_path):
     verified, quarantine = spark.read.json(str(tmp_path / "v")), spark.read.json(str(tmp_path / "q"))
     assert counts == {"verified": verified.count(), "quarantine": quarantine.count()}
     assert "_audit" not in verified.columns and "_audit" in quarantine.columns
+
+
+def test_flatten_json_keeps_private_use_letters(spark):
+    from pyspark.sql import functions as F
+
+    from quizmill.functions.text import flatten_json
+
+    rows = [(r'{"a": "x\ue000y", "b": ["say \"hi\"", "back\\slash", ""], "c\"d": "end"}'.replace("\\ue000", "\ue000"),)]
+    got = spark.createDataFrame(rows, "j string").select(flatten_json(F.col("j")).alias("t")).first()["t"]
+    assert got == 'x\ue000y say "hi" back\\slash end'

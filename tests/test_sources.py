@@ -47,6 +47,34 @@ def test_audit_csv(spark, tmp_path):
         audit.read_audit_csv(spark, str(f))
 
 
+def test_audit_csv_with_quotes_line_breaks_and_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'method,id,note,key_correct\nfull,1,"said ""no, never"" twice",fail\nfull,2,"two\nlines",pass\n', encoding="utf-8"
+    )
+    (tmp_path / "b.csv").write_text("key_correct,id,method\n0,3,full\n1,1,full\n", encoding="utf-8")
+    got = {r["id"]: r["key_correct"] for r in audit.read_audit_csv(spark, str(tmp_path)).collect()}
+    assert got == {"1": True, "2": True, "3": False}
+
+
+def test_upsert_keeps_the_number_of_rows(spark):
+    table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    new = spark.createDataFrame([("a", 10, 1), ("a", 20, 2), ("c", 30, 1)], "k string, v int, at int")
+    got = chunks.upsert_columns(table, new, "k", ["at"])
+    assert sorted((r["k"], r["v"]) for r in got.collect()) == [("a", 20), ("a", 20), ("b", 3)]
+    assert chunks.upsert_columns(table, new.drop("at"), "k").count() == 3
+
+
+def test_import_twice(spark, tmp_path):
+    from quizmill.plans.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"uuid": "u1", "content": "some words"}, {"content": "same"}, {"content": "same"}]')
+    embed = lambda texts: [[1.0] * 4 for _ in texts]
+    for n in (3, 6):
+        table, _ = ingest(spark, str(tmp_path / "in"), str(tmp_path / "table"), embed, "m", 4)
+        assert table.count() == n and table.where("embedding IS NULL").count() == 0
+
+
 def test_chunk_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.json").write_text('[{"content": "x", "source_tier": ""},\n {"content": "y", "source_tier": "t"}]', encoding="utf-8")
