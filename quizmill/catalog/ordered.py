@@ -159,14 +159,16 @@ def a08(spark, d):
 
 
 def outcomes(spark, d):
-    """Chosen rules and final verdict of each item."""
-    return with_lists(spark, d).select(
-        "item", F.array_distinct(F.transform("attempts", lambda a: a["rule_id"])).alias("rule_ids"),
-        F.element_at("attempts", -1)["verified"].alias("verified"),
+    """Rules chosen in any event of an item, and the verdict of its last one."""
+    return V.attempts(spark, d).groupBy("item").agg(
+        F.collect_set("rule_id").alias("rule_ids"),
+        F.max_by("verified", F.struct("ts", "event_id")).alias("verified"),
     )
 
 
-OUT = ATTEMPTS + ", oc AS (SELECT item, rule_id, bool_or(verified) AS verified FROM n GROUP BY item, rule_id)"
+OUT = """
+, lv AS (SELECT item, arg_max(verified, struct_pack(ts := ts, event_id := event_id)) AS verified FROM attempts GROUP BY item),
+oc AS (SELECT DISTINCT item, rule_id, lv.verified FROM attempts JOIN lv USING (item))"""
 
 
 @query("A09_rule_counters", "attempts bullets", OUT + """
