@@ -247,5 +247,65 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return label(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "quality",
+        "base_failed", "kept",
     )
+
+
+def _oracle() -> str:
+    """The same in DuckDB: counts by unnesting words, the estimates by a recursive query."""
+    bad = [
+        "20 * n_symbols > word_chars", "3 * n_upper > word_chars", "4 * n_exclaim > n_words",
+        "5 * n_repeat_words > 2 * n_words", "8 * n_distinct < n_words", "3 * n_dup_lines > n_lines",
+        "word_chars < 2 * n_words OR word_chars > 12 * n_words",
+    ]
+    good = [
+        "50 * n_symbols <= word_chars", "5 * n_upper <= word_chars AND 20 * n_exclaim <= n_words",
+        "5 * n_repeat_words <= 2 * n_words AND 5 * n_distinct >= n_words",
+        "n_marks > 0 AND 100 * n_marks >= n_words AND 2 * n_marks <= n_words",
+    ]
+    votes = [f"CASE WHEN {x} THEN -1 ELSE 0 END" for x in bad]
+    votes += [f"CASE WHEN n_words > 0 AND {x} THEN 1 ELSE 0 END" for x in good]
+    start = str([DEFECT] * len(bad) + [PRAISE] * len(good))
+    rule = f"range(1, {len(votes) + 1})"
+    odds = (
+        f"(ln(prior) - ln(1 - prior) + list_sum(list_transform({rule}, "
+        "lambda r: ln(rates[r][{v}[r] + 2]) - ln(rates[r][{v}[r] + 5]))))"
+    )
+    share = (
+        "(list_sum(list_transform(range(1, len(a) + 1), lambda k: CASE WHEN a[k].v[r] = {vote} THEN {mass} ELSE 0 END))"
+        f" + total * {WEIGHT} * {{own}} * first[r][{{at}}]) / ({{whole}} + total * {WEIGHT} * {{own}})"
+    )
+    cells = ", ".join(
+        share.format(vote=vote, mass=mass, own=own, whole=whole, at=3 * k + vote + 2)
+        for k, (mass, own, whole) in enumerate([("f[k]", PRIOR, "fit"), ("a[k].n - f[k]", 1 - PRIOR, "(total - fit)")])
+        for vote in (-1, 0, 1)
+    )
+    return rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+tok AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+tri AS (SELECT doc_id, i, word, lead(word) OVER p AS b, lead(word, 2) OVER p AS c FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper,
+    length(regexp_replace(t, '[^.!?;,]', '', 'g')) AS n_marks, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaim, len(list_distinct(words)) AS n_distinct
+    FROM w LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{', '.join(votes)}] AS votes FROM m),
+p AS (SELECT votes, count(*) FILTER (NOT base_failed)::DOUBLE AS n FROM b GROUP BY votes),
+l AS (SELECT list({{'v': votes, 'n': n}} ORDER BY votes) AS a, sum(n) AS total, {start}::DOUBLE[][] AS first FROM p),
+e(step, prior, rates) AS (
+    SELECT 0, {PRIOR}::DOUBLE, first FROM l
+    UNION ALL
+    SELECT step + 1, (fit + total * {WEIGHT} * {PRIOR}) / (total + total * {WEIGHT}), list_transform({rule}, lambda r: [{cells}])
+    FROM (SELECT *, list_sum(f) AS fit FROM (
+        SELECT *, list_transform(a, lambda x: x.n / (1 + exp(-{odds.format(v='x.v')}))) AS f FROM e, l WHERE step < {ITERATIONS}))),
+q AS (SELECT votes, 1 / (1 + exp(-{odds.format(v='votes')})) AS quality FROM p, (SELECT prior, rates FROM e WHERE step = {ITERATIONS}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= 0.5 AS kept
+FROM b JOIN q USING (votes)"""
+
+
+SQL = _oracle()

@@ -20,6 +20,7 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op4_quotes": quotes.SQL,
+    "op9_quality": quality.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
