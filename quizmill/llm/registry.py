@@ -20,7 +20,10 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op4_quotes": quotes.SQL,
+    "op6_suffixes": suffixes.SQL,
+    "op7_lattice": lattice.SQL,
     "op9_quality": quality.SQL,
+    "op10_jaccard": jaccard.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -544,3 +544,23 @@ def remove_repeats(
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, whole=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every 50-byte string of every text, as hex digits, with the smallest document that it starts in.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n_bytes FROM d),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS x, substr(h, 2 * p + 1, 100) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) AS p FROM n WHERE n_bytes >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first < doc_id),
+o AS (SELECT doc_id, p, max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+r AS (SELECT doc_id, p, sum(CASE WHEN reach IS NULL OR p > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+k AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM k),
+e AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM c JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN e USING (doc_id)
+"""
