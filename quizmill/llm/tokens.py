@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
+#: Each a piece of its own after letters.
+MARKS = frozenset(".,")
 #: White space as the tokenizers library's patterns have it; Python's set differs.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -62,8 +64,14 @@ class _Words(dict):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             found = b"".join(i.to_bytes(4, "little") for i in ids)
         else:
-            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-            found = b"".join(map(self.piece, [text] if text.isalpha() else self.split(text)))
+            # below U+0250 the library's normaliser only makes letters small
+            text = text.lower() if text and max(text) < "\u0250" else self.tokenizer.normalizer.normalize_str(text)
+            if text.isalpha():
+                found = self.piece(text)
+            elif text[-1:] in MARKS and text[:-1].isalpha():
+                found = self.piece(text[:-1]) + self.piece(text[-1])
+            else:
+                found = b"".join(map(self.piece, self.split(text)))
         self[word] = found
         return found
 

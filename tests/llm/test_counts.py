@@ -46,7 +46,7 @@ def test_bpe_long_and_short_words_agree():
             assert np.frombuffer(worker.known[word], "<u4").tolist() == worker.contract(word.encode())
 
 
-@pytest.mark.parametrize("text", ["a\x1cb c", "it's DON'T 's", "a\xa0b ﬁ ３４ Ⅷ½", "<|endoftext|>x", "\x00 \x85 é́", ""])
+@pytest.mark.parametrize("text", ["a\x1cb c", "it's DON'T 's", "a\xa0b ﬁ ３４ Ⅷ½", "<|endoftext|>x", "\x00 \x85 é́", "İSTANBUL, ΣΑΣ. Straße, Ǆ. ªº. x.y, 's.", ""])
 def test_words_have_the_ids_of_whole_texts(text):
     got = np.frombuffer(tokens.encoder(tokens.default_path()).ids(text.encode()), "<u4").tolist()
     assert got == ids_of(text)
