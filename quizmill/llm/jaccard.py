@@ -8,11 +8,10 @@ groups of a linking pair are equal. Texts that share a group's number in a band
 with so many empty groups that only empty ones might be equal also gives its shingle prefix as keys;
 of a pair of that kind both texts do, so no pair is lost.
 
-Candidates are compared by a 1,024-bit parity sketch, whose Hamming distance is a lower bound too, and
+Candidates are compared by a sketch of single parities, whose Hamming distance is a lower bound too, and
 then by the sets themselves. Texts with equal sets are one class from the start. Of the texts that share
-a key, each is compared with the first. Where that doesn't join them all, rounds follow: of any two parts
-of a group the nearest pairs by sketch are compared, more of them in every round, until no pair is
-left that the sketches allow.
+a key, each is compared with the first. Where that doesn't join them all, of any two parts of a group the
+nearest pairs by sketch are compared, and at last all pairs of different parts that the sketches allow.
 
 Keys travel packed, as runs of numbers per task and bucket; no pair of one group is written twice and
 pairs of texts that are already joined are never made. A bucket's runs (about ``BUCKET`` bytes, plus
@@ -86,7 +85,45 @@ def identity(items: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((items & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes()
+    """The parities of a set's elements in a power of two of bits, at least twice as many as elements."""
+    bits = max(BITS, 1 << (2 * len(items)).bit_length() - 1)
+    places = (items & U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+class _Sketches:
+    """Distances of sketches: the longer of two is folded, which keeps its parities."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        raw = column.to_pylist()
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size).tolist():
+            own = [np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)]
+            half = size // 8
+            same, double = (
+                np.frombuffer(b"".join(raw[k] for k in at.tolist()), U).reshape(-1, width)
+                for at, width in zip(own, (half, 2 * half), strict=True)
+            )
+            place = np.full(len(raw), -1)
+            place[np.concatenate(own)] = np.arange(len(own[0]) + len(own[1]))
+            folded = double[:, :half] ^ double[:, half:] if len(own[1]) else same[:0]
+            self.rows[size] = place, np.concatenate([same, folded])
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric differences of the rows ``i`` and ``j``."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        for size, (place, rows) in self.rows.items():
+            at = np.flatnonzero(least == size)
+            # sizes more than a fold apart can't link
+            far = np.maximum(self.size[i[at]], self.size[j[at]]) > 2 * size
+            out[at[far]] = np.iinfo(np.int32).max
+            at = at[~far]
+            step = max(1, 16_000_000 // size)
+            for k in range(0, len(at), step):
+                own = at[k : k + step]
+                out[own] = np.bitwise_count(rows[place[i[own]]] ^ rows[place[j[own]]]).sum(1, dtype=np.int64)
+        return out
 
 
 def _texts(column: pa.Array, most: int = 8_000_000) -> Iterator[list[bytes]]:
@@ -202,10 +239,9 @@ def _near(na: np.ndarray, nb: np.ndarray, apart: np.ndarray) -> np.ndarray:
 def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-        one, two = (
-            np.frombuffer(b"".join(batch.column(k).to_pylist()), U).reshape(-1, BITS // 64) for k in (4, 5)
-        )
-        near = _near(na, nb, np.bitwise_count(one ^ two).sum(1, dtype=np.int64))
+        rows = _Sketches(pa.concat_arrays([batch.column(4), batch.column(5)]))
+        at = np.arange(batch.num_rows)
+        near = _near(na, nb, rows.apart(at, at + batch.num_rows))
         yield pa.RecordBatch.from_arrays(
             [c.filter(pa.array(near)) for c in batch.columns[:2]], names=["a", "b"]
         )
@@ -223,53 +259,51 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
-    """Of one group: ids and parts, and for each the later ones of other parts that the sketches don't
-    rule out, with their distance."""
-    table = table.take(pa.array(np.argsort(table.column("n").to_numpy(), kind="stable")))
-    sid, part, n = (table.column(c).to_numpy() for c in ("sid", "part", "n"))
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U).reshape(-1, BITS // 64)
-    for k in range(len(sid)):
-        rest = slice(k + 1, int(np.searchsorted(n, n[k] * 100 // NUM, side="right")))
-        apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
-        near = _near(n[rest], n[k], apart) & (part[rest] != part[k])
-        yield sid, part, k, k + 1 + np.flatnonzero(near), apart[near]
-
-
-def _across(most: int):
-    """Of one group: for any two parts the ``most`` pairs that are nearest by sketch, of those that the
-    sketches don't rule out and that weren't refuted."""
-
-    def run(group: pa.Table, refuted: pa.Table) -> pa.Table:
-        known = set(zip(refuted.column("a").to_pylist(), refuted.column("b").to_pylist(), strict=True))
-        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        name = group.column("name")[0].as_py() if group.num_rows else 0
-        for sid, part, k, others, apart in _meetings(group) if group.num_rows else ():
-            for j, d in zip(others.tolist(), apart.tolist(), strict=True):
-                pair = (min(int(sid[k]), int(sid[j])), max(int(sid[k]), int(sid[j])))
-                if pair not in known:
-                    own = best.setdefault((min(part[k], part[j]), max(part[k], part[j])), [])
-                    own.append((d, *pair))
-                    if len(own) > 4 * most:
-                        own.sort()
-                        del own[most:]
-        rows = [p for own in best.values() for p in sorted(own)[:most]]
-        return pa.table({
-            "name": pa.array([name] * len(rows), pa.int64()), "a": pa.array([r[1] for r in rows], pa.int64()),
-            "b": pa.array([r[2] for r in rows], pa.int64()),
-        })
+def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of many groups: (sid, sid, part, part, distance) of the texts of a group, in different parts, that
+    the sketches don't rule out. Members are compared with those so many places after them, all groups
+    at once."""
+    name, n = table.column("name").to_numpy(), table.column("n").to_numpy()
+    order = np.lexsort((n, name))
+    table = table.take(pa.array(order))
+    name, n = name[order], n[order]
+    sid, part = table.column("sid").to_numpy(), table.column("part").to_numpy()
+    sketches = _Sketches(table.column("sketch"))
+    at, ends = np.arange(len(name)), np.searchsorted(name, name, side="right")
+    step = 1
+    while len(at := at[at + step < ends[at]]):
+        # sizes rise within a group: once one is too far away, so are the rest
+        at = at[100 * n[at] >= NUM * n[at + step]]
+        one = at[part[at] != part[at + step]]
+        apart = sketches.apart(one, one + step)
+        near = _near(n[one], n[one + step], apart)
+        i, j = one[near], one[near] + step
+        yield sid[i], sid[j], part[i], part[j], apart[near]
+        step += 1
+
+
+def _across(most: int | None):
+    """Of many groups: for any two parts the ``most`` pairs that are nearest by sketch (None: all)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = list(_meetings(table))
+        a, b, p, q, apart = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 5))
+        a, b, p, q = np.minimum(a, b), np.maximum(a, b), np.minimum(p, q), np.maximum(p, q)
+        _, once = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+        if most is not None and len(once):
+            once = once[np.lexsort((apart[once], q[once], p[once]))]
+            fresh = np.append(True, (np.diff(p[once]) != 0) | (np.diff(q[once]) != 0))
+            first = np.flatnonzero(fresh)
+            once = once[np.arange(len(once)) - first[np.cumsum(fresh) - 1] < most]
+        return pa.table({"a": a[once], "b": b[once]})
 
     return run
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one group: the texts that some other is near to by sketch."""
-    found: set[int] = set()
-    for sid, _, k, others, _ in _meetings(table):
-        if len(others):
-            found.add(int(sid[k]))
-            found.update(sid[others].tolist())
-    return pa.table({"sid": pa.array(sorted(found), pa.int64())})
+    """Of many groups: the texts that some other of their group is near to by sketch."""
+    found = [x for pair in _meetings(table) for x in pair[:2]]
+    return pa.table({"sid": np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)})
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -317,8 +351,10 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
     near = materialize(promising(pairs), "pairs")
     listed = materialize(groups.mapInArrow(members, "name long, sid long"), "members")
     sketches = classes.select("sid", "n", "sketch")
+    lots = max(64, listed.count() // 20_000)
+    lot = F.pmod(F.xxhash64("name"), F.lit(lots)).alias("lot")  # some groups for one call
     meeting = (
-        listed.withColumn("part", F.col("sid")).join(sketches, "sid").groupBy("name").applyInArrow(_meet, "sid long")
+        listed.withColumn("part", F.col("sid")).join(sketches, "sid").groupBy(lot).applyInArrow(_meet, "sid long")
     )
     # every text that may be compared
     wanted = near.select(F.explode(F.array("a", "b")).alias("sid")).union(meeting).distinct()
@@ -344,30 +380,26 @@ def links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str) -> DataF
         both = candidates.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
         return materialize(both.mapInArrow(_by_sets, "a long, b long"), "links")
 
-    found, most = verified(near), 4
-    refuted = materialize(listed.limit(0).select("name", F.col("sid").alias("a"), F.col("sid").alias("b")), "refuted")
-    while True:
+    found, compared = verified(near), near
+    # first the nearest of any two parts of a group, then all that are still in different parts
+    for most in (4, None):
         parts = components(found)
         placed = listed.join(parts.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn(
             "part", F.coalesce("component", "sid")
         )
         placed = materialize(placed.select("name", "sid", "part"), "members")
-        # groups that aren't joined yet; usually few
         still = placed.groupBy("name").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
         rest = (
             placed.join(still.select("name"), "name", "left_semi")
             .join(sketches, "sid")
-            .groupBy("name")
-            .cogroup(refuted.groupBy("name"))
-            .applyInArrow(_across(most), "name long, a long, b long")
+            .groupBy(lot)
+            .applyInArrow(_across(most), "a long, b long")
+            .distinct()
         )
-        rest = materialize(rest, "more")
-        if not rest.head(1):
-            return found
-        joined = verified(rest.select("a", "b").distinct())
-        wrong = rest.join(joined, ["a", "b"], "left_anti").select("name", "a", "b")
-        refuted = materialize(refuted.union(wrong), "refuted")
-        found, most = materialize(found.union(joined), "links"), 8 * most
+        rest = materialize(rest.join(compared, ["a", "b"], "left_anti"), "more")
+        found = materialize(found.union(verified(rest)), "links")
+        compared = compared.union(rest)
+    return found
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
