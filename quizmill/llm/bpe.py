@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG = 64
-KNOWN = 250_000
+KNOWN = 400_000
 #: Words of one query, and bytes of text handled at a time.
-WORDS, CHUNK = 10_000, 1_000_000
+WORDS, CHUNK = 40_000, 1_000_000
 
 #: ``spot``: word * 65536 + position; ``next``, ``after``: spot and id of the neighbour to the right.
 CONTRACT = """
