@@ -22,8 +22,9 @@ from quizmill.storage import new_path
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of ``ids``, in their own columns."""
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    """The documents of ``ids`` (null is one), in their own columns."""
+    named = ids.select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(docs.columns)
 
 
 def clean_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def clean_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     classes = jaccard.classify(docs.select("doc_id", "text"))
-    return _keep(docs, classes.where("doc_id = component_id").select("doc_id"))
+    return _keep(docs, classes.where("doc_id <=> component_id").select("doc_id"))
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def identity(items: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """The parities of a set's elements in a power of two of bits, at least twice as many as elements."""
-    bits = max(BITS, 1 << (2 * len(items)).bit_length() - 1)
+    """The parities of a set's elements in a power of two of bits, at least as many as elements."""
+    bits = max(BITS, 1 << (2 * len(items) + 1).bit_length() - 1)
     places = (items & U(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=bits) & 1 == 1, bitorder="little").tobytes()
 

@@ -263,3 +263,10 @@ def test_pipeline_keeps_columns_and_acts(spark):
     for stage in (corpus_pipeline.clean_toxicity, corpus_pipeline.clean_quality):
         out = stage(spark, rows, sf)
         assert out.columns == rows.columns and 0.5 * rows.count() < out.count() < rows.count()
+
+
+def test_filters_keep_rows_without_an_id(spark):
+    rows = docs(spark)
+    near = corpus_pipeline.drop_near_copies(spark, rows, "")
+    assert near.where("doc_id is null").count() == 1 and near.columns == rows.columns
+    assert corpus_pipeline.cut_repeats(spark, rows, "").where("doc_id is null").count() == 1
