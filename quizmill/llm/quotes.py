@@ -101,20 +101,17 @@ def replies(parsed: DataFrame) -> DataFrame:
 
 def trees(links: DataFrame) -> DataFrame:
     """(id, root, depth) of every message that replies, in steps that double their length."""
-    now = materialize(links.select("id", F.col("reply_to").alias("root"), F.lit(1).alias("depth")), "trees")
-    while True:
+    now = links.select("id", F.col("reply_to").alias("root"), F.lit(1).alias("depth"), F.lit(True).alias("open"))
+    now = materialize(now, "trees")
+    while now.where("open").head(1):
         up = now.select(F.col("id").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        far = now.join(up, "root", "left")
-        now = materialize(
-            far.select(
-                "id", F.coalesce("above", "root").alias("root"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"),
-            ),
-            "trees",
+        far = now.where("open").join(up, "root", "left").select(
+            "id", F.coalesce("above", "root").alias("root"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("open"),
         )
-        if not now.where("moved").head(1):
-            return now.select("id", "root", "depth")
-        now = now.drop("moved")
+        # what has met its root is done
+        now = materialize(far.unionByName(now.where("NOT open")), "trees")
+    return now.select("id", "root", "depth")
 
 
 def conversations(messages: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
