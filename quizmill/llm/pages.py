@@ -1,16 +1,20 @@
 """Main text of web pages by templates deduced from occurrence vectors.
 
-Pages of one host share a template. A token is a tag with the tags around it (names, ids, classes); its
+Pages of one host share a template; copies of a page (equal html) count once. A token is a tag with the
+tags around it (names, ids, classes; numbers in them don't count), or such a tag with a text; its
 occurrence vector says how often it is on each of the host's pages. Tokens with the same vector form an
 equivalence class, told by a sum of hashes over the pages, so no vector is ever gathered. Classes that
-are on at least half of the host's pages are valid; they nest by their paths into the template. What
-lies between template tokens are slots, with how much text they hold, how much of it is in links, and
-how much is the same on several pages. The article's slots lie in one container: from the root, the walk
+are on at least half of the host's pages are valid; each nests in the class of the nearest valid tag
+around it, and ``template`` holds them so. The texts of valid classes are the template's own and are
+taken out of every page. What lies between template tokens are slots, with how much text they hold, how
+much of it is in links, and how much is the same on several pages; text under tags of no valid class
+belongs to the slot around it. The article's slots lie in one container: from the root, the walk
 goes to the child container that holds most of the text that is neither linked, constant nor in
 something else (menus, forms, comments and so on), as long as one child holds nearly all.
 
 All sums per host are aggregations with partial sums; pages meet their host's template in a salted join.
-A page without its host's container, or of a host with fewer than ``LEAST`` pages, is walked alone.
+A page without its host's container, or of a host with fewer than ``LEAST`` different pages, is walked
+alone. A page that holds nothing but template texts in its container keeps them.
 
 Defined results: a null or empty html, and a page without text, give an empty text; a null url is a host
 of its own; repeated rows stay. An empty table gives an empty result. Other columns are not read.
@@ -19,6 +23,7 @@ of its own; repeated rows stay. An empty table gives an empty result. Other colu
 from __future__ import annotations
 
 import html as references
+import marshal
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -67,11 +72,12 @@ def _name(tag: str, rest: str) -> tuple[str, bool]:
     other = tag in OTHER or any(p in WORDS for w in words for p in re.split(r"[^a-z]+", w))
     if tag in ("html", "body", "article", "main") and tag not in OTHER:
         other = False
-    return ".".join([tag, *words[:2]]), other
+    return re.sub(r"\d+", "0", ".".join([tag, *words[:2]])), other
 
 
-def blocks(html: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, characters in links, whether it is in something else) of every block of text."""
+def blocks(html: str, opened: dict[tuple[str, bool], int] | None = None) -> list[tuple[str, str, int, bool]]:
+    """(path, text, characters in links, whether it is in something else) of every block of text.
+    ``opened`` gets how often each tag is opened, by path and whether it is in something else."""
     out: list[tuple[str, str, int, bool]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path, other
     parts: list[str] = []
@@ -123,6 +129,8 @@ def blocks(html: str) -> list[tuple[str, str, int, bool]]:
             step, other = _name(tag, m[4])
             above = stack[-1] if stack else ("", "", False)
             stack.append((tag, f"{above[1]}/{step}", other or above[2]))
+            if opened is not None:
+                opened[stack[-1][1:]] = opened.get(stack[-1][1:], 0) + 1
     parts.append(html[at:])
     close()
     return out
@@ -153,21 +161,41 @@ def _host(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/")[0].split("?")[0]
 
 
-def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token: pages, occurrences, the vector's hash, text, linked text; per text its hash."""
+def _mark(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\0{text}") >> 1
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row: host, the page's identity, its tags and texts."""
     for batch in batches:
-        sums: dict[tuple, list] = {}
-        for url, page, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            host = _host(url)
-            seen: dict[tuple, list] = {}
-            for path, text, linked, other in blocks(html or ""):
-                own = seen.setdefault((host, path, xxhash.xxh64_intdigest(text) >> 1, other), [0, 0, 0])
+        hosts, names, tokens = [], [], []
+        for url, html in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            opened: dict[tuple[str, bool], int] = {}
+            texts: dict[tuple, list] = {}
+            for path, text, linked, other in blocks(html or "", opened):
+                own = texts.setdefault((path, other, _mark(path, text)), [0, 0, 0])
                 own[0] += 1
                 own[1] += len(text)
                 own[2] += min(linked, len(text))
-            for key, (n, chars, linked) in seen.items():
-                mark = xxhash.xxh64_intdigest(f"{page} {n}") >> 24
-                own = sums.setdefault(key, [0, 0, 0, 0, 0])
+            hosts.append(_host(url))
+            names.append(xxhash.xxh128_digest((html or "").encode("utf-8", "surrogatepass")))
+            tags = [(path, other, None, n, 0, 0) for (path, other), n in opened.items()]
+            tokens.append(marshal.dumps(tags + [(*key, *own) for key, own in texts.items()]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())],
+            names=["host", "page", "tokens"],
+        )
+
+
+def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and token: pages, occurrences, the vector's hash, text, linked text. A tag's text is null;
+    a null path counts the host's pages."""
+    for batch in batches:
+        sums: dict[tuple, list] = {}
+        for host, page, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for path, other, text, n, chars, linked in [(None, False, None, 1, 0, 0), *marshal.loads(tokens)]:
+                mark = xxhash.xxh64_intdigest(page + n.to_bytes(8, "little")) >> 24
+                own = sums.setdefault((host, path, text, other), [0, 0, 0, 0, 0])
                 for k, v in enumerate((1, n, mark, chars, linked)):
                     own[k] += v
         keys, values = list(sums), list(sums.values())
@@ -177,51 +205,85 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+TEMPLATE = "template array<struct<class: int, within: int, path: string, text: long>>"
+
+
 def _deduce(table: pa.Table) -> pa.Table:
-    """Of one host: the container of its article slots."""
-    total = table.column("host_pages")[0].as_py()
-    classes: dict[int, list[int]] = defaultdict(list)
+    """Of one host: its template (valid classes of tokens and the class each is within), the template's
+    texts and the container of its article slots. Rows with a text are its valid texts."""
     rows = table.to_pylist()
-    for k, r in enumerate(rows):
-        classes[r["vector"]].append(k)
+    total = rows[0]["host_pages"]
+    classes: dict[tuple, list[dict]] = defaultdict(list)
+    for r in rows:
+        if r["pages"] and 2 * r["pages"] >= total >= LEAST:
+            classes[r["pages"], r["n"], r["vector"]].append(r)
+    listed = sorted(
+        (sorted(m, key=lambda r: (r["path"].count("/"), r["path"], r["text"] or -1)) for m in classes.values()),
+        key=lambda m: (m[0]["path"].count("/"), m[0]["path"], m[0]["text"] or -1),
+    )
+    tags = {r["path"]: k for k, members in enumerate(listed) for r in members if r["text"] is None}
+
+    def around(path: str) -> str:
+        """The path itself or the nearest one around it that is the template's."""
+        while path and path not in tags:
+            path = path.rpartition("/")[0]
+        return path
+
+    template, texts = [], []
+    for k, members in enumerate(listed):
+        first = members[0]["path"]
+        above = around(first if members[0]["text"] is not None else first.rpartition("/")[0])
+        within = tags.get(above, -1)
+        for r in members:
+            template.append({"class": k, "within": within if within != k else -1, "path": r["path"], "text": r["text"]})
+            if r["text"] is not None:
+                texts.append(r["text"])
     mass: dict[str, float] = defaultdict(float)
-    for members in classes.values():
-        # a class is valid if its tokens are on enough pages; invalid ones are data inside slots
-        if 2 * max(rows[k]["pages"] for k in members) < total:
-            continue
-        for k in members:
-            r = rows[k]
-            free = r["chars"] - r["linked"]
-            if not r["other"] and free > 0 and 2 * r["constant"] < r["n"]:
-                mass[r["path"]] += free
+    for r in rows:
+        free = r["chars"] - r["linked"]
+        if r["text"] is None and not r["other"] and free > 0 and 2 * r["constant"] < r["blocks"]:
+            mass[around(r["path"])] += free
     main = walk(mass) if mass and total >= LEAST else None
-    return pa.table({"host": pa.array([rows[0]["host"]]), "main": pa.array([main], pa.string())})
+    kind = pa.list_(pa.struct([("class", pa.int32()), ("within", pa.int32()), ("path", pa.string()), ("text", pa.int64())]))
+    return pa.table({
+        "host": pa.array([rows[0]["host"]]), "main": pa.array([main], pa.string()),
+        "texts": pa.array([texts], pa.list_(pa.int64())), "template": pa.array([template], kind),
+    })
 
 
 def templates(pages: DataFrame, page_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(host, main): the path of the article's container on each host; null where it can't be told."""
-    observed = pages.select(url_col, F.col(page_col).cast("string"), html_col).mapInArrow(
+    """(host, main, texts, template): the path of the article's container on each host, null where it
+    can't be told; the marks of the template's own texts; the nested classes."""
+    once = (
+        pages.select(url_col, html_col)
+        .mapInArrow(_parse, "host string, page binary, tokens binary")
+        .groupBy("host", "page").agg(F.first("tokens").alias("tokens"))
+    )
+    observed = once.mapInArrow(
         _observe,
         "host string, path string, text long, other boolean, pages long, n long, vector long, chars long, linked long",
     )
-    names = ["pages", "n", "vector", "chars", "linked"]
     kinds = "decimal(38,0)"
-    texts = observed.groupBy("host", "path", "other", "text").agg(
-        *(F.sum(F.col(c).cast(kinds) if c == "vector" else F.col(c)).alias(c) for c in names)
-    )
-    hosts = (
-        pages.select(F.lower(F.coalesce(F.col(url_col), F.lit(""))).alias("url"))
-        .select(F.split(F.regexp_replace("url", r"^[a-z][a-z0-9+.-]*://", ""), "[/?]")[0].alias("host"))
-        .groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    tokens = materialize(
+        observed.groupBy("host", "path", "other", "text").agg(
+            F.sum("pages").alias("pages"), F.sum("n").alias("n"),
+            (F.sum(F.col("vector").cast(kinds)) % F.lit((1 << 62) - 57)).cast("bigint").alias("vector"),
+            F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        ),
+        "page_tokens",
     )
-    paths = texts.groupBy("host", "path", "other").agg(
-        F.least(F.max("pages"), F.sum("pages")).alias("most"), F.sum("pages").alias("pages"),
-        F.sum("n").alias("n"), (F.sum("vector") % F.lit((1 << 62) - 57)).cast("bigint").alias("vector"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+    hosts = tokens.where("path is null").select("host", F.col("pages").alias("host_pages"))
+    tag, text = F.col("text").isNull(), F.col("text").isNotNull()
+    paths = tokens.where("path is not null").groupBy("host", "path", "other").agg(
+        F.max(F.when(tag, F.col("pages"))).alias("pages"), F.max(F.when(tag, F.col("n"))).alias("n"),
+        F.max(F.when(tag, F.col("vector"))).alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.sum(F.when(text, F.col("n")).otherwise(0)).alias("blocks"),
         # blocks whose text is on many pages of the host at the same place
-        F.sum(F.when(F.col("pages") > 1, F.col("n")).otherwise(0)).alias("constant"),
-    )
-    return paths.join(hosts, "host").groupBy("host").applyInArrow(_deduce, "host string, main string")
+        F.sum(F.when(text & (F.col("pages") > 1), F.col("n")).otherwise(0)).alias("constant"),
+    ).withColumn("text", F.lit(None).cast("bigint")).join(hosts, "host")
+    valid = tokens.where(text & (F.col("pages") >= LEAST)).join(hosts, "host").where("2 * pages >= host_pages")
+    rows = paths.unionByName(valid.withColumns({"blocks": F.lit(0).cast("bigint"), "constant": F.lit(0).cast("bigint")}))
+    return rows.groupBy("host").applyInArrow(_deduce, f"host string, main string, texts array<long>, {TEMPLATE}")
 
 
 def extract(
@@ -230,7 +292,7 @@ def extract(
     """Per row: page, url, ``text`` of the article and ``main``, the path that it was found at."""
     found = materialize(templates(pages, page_col, url_col, html_col), "templates")
     salted = found.select(
-        "host", F.col("main").alias("_main"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        "host", F.col("main").alias("_main"), F.col("texts").alias("_texts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
     host = F.split(
         F.regexp_replace(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"^[a-z][a-z0-9+.-]*://", ""), "[/?]"
@@ -238,7 +300,7 @@ def extract(
     joined = pages.select(
         page_col, url_col, html_col, host.alias("host"),
         F.pmod(F.xxhash64(page_col, html_col), F.lit(SALTS)).cast("int").alias("_salt"),
-    ).join(salted, ["host", "_salt"], "left").select(page_col, url_col, html_col, "_main")
+    ).join(salted, ["host", "_salt"], "left").select(page_col, url_col, html_col, "_main", "_texts")
     schema = T.StructType(
         [pages.schema[page_col], pages.schema[url_col]]
         + [T.StructField("text", T.StringType()), T.StructField("main", T.StringType())]
@@ -247,7 +309,7 @@ def extract(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, mains = [], []
-            for html, main in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for html, main, own_texts in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 got = [b for b in blocks(html.as_py() or "") if not b[3]]
                 own = main
                 if own is None or not any(_inside(path, own) for path, *_ in got):
@@ -255,7 +317,10 @@ def extract(
                     for path, text, linked, _ in got:
                         mass[path] += max(0, len(text) - linked)
                     own = walk(mass)
-                texts.append("\n".join(text for path, text, *_ in got if _inside(path, own)))
+                inside = [b for b in got if _inside(b[0], own)]
+                constant = set(own_texts.as_py() or ())
+                rest = [b for b in inside if _mark(b[0], b[1]) not in constant] if constant else inside
+                texts.append("\n".join(b[1] for b in rest or inside))
                 mains.append(own)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(mains, pa.string())], names=schema.names

@@ -224,6 +224,25 @@ def test_pages(spark):
     assert pages.extract(table.where("false")).count() == 0
 
 
+def test_pages_lose_their_hosts_constant_texts(spark):
+    page = (
+        "<html><body><div id='post-{k}'><p>Filed in general, as always</p><p>Own words {k}, {w}</p><p>More of the {k}: {w}</p></div>"
+        "<div>Foot</div></body></html>"
+    )
+    rows = [(k, f"https://c.example/{k}", page.format(k=k, w=" ".join(words(30, k)))) for k in range(8)]
+    rows += [(100 + k, f"https://c.example/copy{k}", rows[0][2]) for k in range(20)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = pages.extract(table).collect()
+    for r in got:
+        k = r.page_id if r.page_id < 100 else 0
+        assert [x.split(",")[0].split(":")[0] for x in r.text.split("\n")] == [f"Own words {k}", f"More of the {k}"]
+    found = pages.templates(table, "page_id", "url", "html").first()
+    one = {x["path"]: x["class"] for x in found.template if x["text"] is None}
+    assert one["/html"] == one["/html/body"] and found.main == "/html/body/div.post-0"
+    assert {x["class"] for x in found.template if x["text"] is not None} == {one["/html"]}
+    assert {x["within"] for x in found.template if x["path"].endswith("/p") and x["text"] is None} == {one["/html"]}
+
+
 def test_quotes(spark):
     rows = [
         (1, "Hello all\nsecond line", "a"), (2, "> Hello all\n> second line\nFine.", "b"),
