@@ -110,13 +110,8 @@ class Scanner:
             self.scores.clear()
         words = WORDS((text or "").lower())
         scored = np.fromiter(map(self.scores.__getitem__, words), float, len(words))
-        # a word counts twice at most: a third copy says nothing new
-        seen, known = Counter(), []
-        for k in np.flatnonzero(scored != GAP).tolist():
-            seen[words[k]] += 1
-            if seen[words[k]] <= 2:
-                known.append((k, float(scored[k])))
-        return len(words), segments(known)
+        places = np.flatnonzero(scored != GAP)
+        return len(words), segments(list(zip(places.tolist(), scored[places].tolist(), strict=True)))
 
     def weigh(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, list]:
         """Sum of the significant segments' scores above chance, and those segments."""

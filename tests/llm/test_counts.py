@@ -175,6 +175,15 @@ def test_segments_are_the_maximal_ones():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute(x.tolist())]
 
 
+def test_every_occurrence_is_scored():
+    model = toxicity.Model(odds={"vilest ": 3.0, "grubling ": 4.0})
+    filler = ["word"] * 50
+    text = " ".join(["vilest", *filler, "vilest", "grubling", *filler, "grubling", *filler, *["vilest", "grubling"] * 5])
+    n, found = toxicity.Scanner(model).scan(text)
+    assert n == 164 and found == [(0, 0, 3.0), (51, 52, 7.0), (103, 103, 4.0), (154, 163, 35.0)]
+    assert toxicity.Scanner(model).scan(" ".join(["vilest"] * 50)) == (50, [(0, 49, 150.0)])
+
+
 def test_toxicity_learns_and_finds(spark):
     def text(k, bad):
         w = words(60, k)
