@@ -9,9 +9,12 @@ message before later ones. A message can only reply to one with a smaller id, so
 their roots are found by doubling steps, and a conversation's messages are ordered by their distance
 from the root, then by id.
 
-A hash keeps its two earliest messages (the second for a message that meets itself), so that a line
-that a third of all messages say is joined to two rows. Positions are running sums over ranges, so a
-conversation may be of any size. DataFrame functions only.
+Votes count all messages that say a key, without a row for each: messages that say the same keys count as
+their earliest. A passage is met by whole messages, which differ in nothing but their lines' ends. A line
+that more than ``COMMON`` kinds of messages say is a common one: a message's candidates come from its other
+lines, with all their votes; those that it shares common lines only with are told from the distinct sets of
+common lines that are said and that are quoted, of which each number of votes keeps its earliest message.
+Positions are running sums over ranges, so a conversation may be of any size. DataFrame functions only.
 
 Defined results: a null or empty text is empty and replies to nothing; a message that quotes only what
 nobody said begins a conversation. Ids are unique and not null; of rows that repeat an id the least text
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from quizmill.operators import ordering
 from quizmill.storage import materialize
 
+#: Kinds of messages up to which a line is joined to all of them.
+COMMON = 100
 MARKS = r"^\s*((?:>\s?)+)"
 
 
@@ -83,20 +88,60 @@ def parse(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def replies(parsed: DataFrame) -> DataFrame:
     """(id, reply_to) of every message whose quotes are found."""
-    said = parsed.select("id", F.explode("said").alias("k")).select("id", "k.*")
-    first = (
-        said.withColumn("rank", F.row_number().over(W.partitionBy("exact", "line").orderBy("id")))
-        .where("rank <= 2")
-        .select(F.col("id").alias("original"), "exact", "line")
+    exact = lambda c, line: F.array_sort(
+        F.transform(F.filter(c, lambda k: k["line"] == line), lambda k: k["exact"])
     )
-    quoted = parsed.select("id", F.explode("quoted").alias("k")).select("id", "k.*")
-    met = quoted.join(first, ["exact", "line"]).where("original < id")
-    votes = met.groupBy("id", "original").agg(
-        F.min(F.col("line").cast("int")).alias("line"), F.count(F.lit(1)).alias("n")
+    # kinds of messages: the earliest of those that say the same passage and lines
+    kinds = parsed.where(F.size("said") > 0).select("id", exact("said", False)[0].alias("whole"), exact("said", True).alias("lines"))
+    kinds = materialize(kinds.groupBy("whole", "lines").agg(F.min("id").alias("original")), "kinds")
+    asked = parsed.where(F.size("quoted") > 0).select("id", exact("quoted", False).alias("passages"), exact("quoted", True).alias("asked"))
+    asked = materialize(asked, "asked")
+
+    def best(candidates: DataFrame) -> DataFrame:
+        """Of (id, original, votes), the most votes, then the earliest."""
+        return candidates.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("n"), "original")).alias("best"))
+
+    votes = F.size(F.array_intersect("asked", "lines"))
+    by_whole = (
+        asked.select("id", "passages", "asked", F.explode("passages").alias("whole"))
+        .join(kinds, "whole").where("original < id")
+        .select("id", "original", (votes + 1).alias("votes"))
+    )
+    found = materialize(best(by_whole), "by_passage")
+    # what no whole message answers: by lines
+    open_ = materialize(asked.join(found.select("id"), "id", "left_anti").select("id", "asked"), "open")
+    wanted = open_.select(F.explode("asked").alias("key")).distinct()
+    spoken = materialize(
+        kinds.select("original", F.explode("lines").alias("key")).join(wanted, "key", "left_semi"), "spoken"
     )
-    return votes.groupBy("id").agg(
-        F.min(F.struct("line", (-F.col("n")).alias("n"), "original"))["original"].alias("reply_to")
+    common = spoken.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > COMMON).select("key")
+    common = materialize(common, "common")
+    lines = open_.select("id", F.explode("asked").alias("key"))
+    rare = (
+        lines.join(common, "key", "left_anti").join(spoken.join(common, "key", "left_anti"), "key")
+        .where("original < id").select("id", "original").distinct()
+    )
+    sets = kinds.groupBy("original").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    by_rare = rare.join(open_, "id").join(sets, "original").select("id", "original", votes.alias("votes"))
+
+    def common_sets(keys: DataFrame, name: str) -> DataFrame:
+        held = keys.join(common, "key", "left_semi")
+        return held.groupBy(name).agg(F.array_sort(F.collect_set("key")).alias("held"))
+
+    heard = materialize(common_sets(lines, "id"), "heard")
+    told = common_sets(spoken, "original").groupBy("held").agg(F.min("original").alias("original"))
+    told = told.select("original", F.col("held").alias("lines"), F.explode("held").alias("key"))
+    pairs = (
+        heard.select("held").distinct().select(F.col("held").alias("asked"), F.explode("held").alias("key"))
+        .join(told, "key").select("asked", "lines", "original").distinct()
+    )
+    # of as many votes only the earliest can be earlier than a message
+    least = pairs.groupBy("asked", votes.alias("votes")).agg(F.min("original").alias("original"))
+    by_common = (
+        heard.join(least.withColumnRenamed("asked", "held"), "held").where("original < id").select("id", "original", "votes")
     )
+    by_line = best(by_rare.unionByName(by_common))
+    return found.unionByName(by_line).select("id", F.col("best.original").alias("reply_to"))
 
 
 def trees(links: DataFrame) -> DataFrame:

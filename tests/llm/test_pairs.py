@@ -260,6 +260,28 @@ def test_quotes(spark):
     assert quotes.conversations(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 1, 100])
+def test_votes_count_all_who_said_a_line(spark, monkeypatch, common):
+    monkeypatch.setattr(quotes, "COMMON", common)
+    rows = [(1, "line a\none"), (2, "line a\ntwo"), (7, "line a\nline b"), (8, "> line a\n> x\n-\n> line b\nYes."), (9, "line b\nline a\nline c")]
+    rows += [(10, "> line a\n> line b\n> line c\n> y\nNo."), (11, "line b"), (12, "> line b\nOh.")]
+    pick = random.Random(5)
+    for k in range(20, 120):
+        said = [f"say {pick.randrange(12)}" for _ in range(pick.randint(1, 4))]
+        rows.append((k, "\n".join([f"> say {pick.randrange(12)}" for _ in range(pick.randint(0, 4))] + said)))
+    texts = {i: [x for x in t.split("\n")] for i, t in rows}
+    whole = {i: " ".join(x for x in t if x[0] != ">") for i, t in texts.items()}
+    want = {}
+    for i, t in texts.items():
+        asked = {x[2:] for x in t if x[0] == ">"}
+        passages = {" ".join(x[2:] for x in p.split("\n") if x) for p in re.split(r"(?m)^[^>].*$", "\n".join(t)) if p.strip()}
+        votes = [(whole[j] not in passages, -len(asked & {x for x in texts[j] if x[0] != ">"}) - (whole[j] in passages), j) for j in texts if j < i]
+        want[i] = min((v for v in votes if v[1] < 0), default=(0, 0, None))[2]
+    assert want[8] == 7 and want[10] == 9 and want[12] == 11
+    got = quotes.conversations(spark.createDataFrame(rows, "message_id long, text string")).collect()
+    assert {r.message_id: r.reply_to for r in got} == want
+
+
 def test_long_reply_chain(spark):
     rows = [(k, (f"> say {k - 1}\n" if k else "") + f"say {k}") for k in range(40)]
     got = quotes.conversations(spark.createDataFrame(rows, "message_id long, text string")).collect()
