@@ -2,7 +2,8 @@
 
 toxicity       documents that it scores 0.5 or more go
 quality        documents that fail the base rule or are judged unfit go
-near_copies    one document of each class of near copies stays: the one with the smallest id
+near_copies    one row of each class of near copies stays: the one with the smallest id, null last; of rows
+               that share it, one
 repeats        passages of 50 bytes or more that an earlier document has go; documents left without
                text stay, with an empty one
 packing        a row per piece of a document in a sequence of at most 4,096 tokens
@@ -18,13 +19,17 @@ from pyspark.sql import functions as F
 
 from quizmill.llm import jaccard, packing, quality, suffixes, toxicity
 from quizmill.session import ship_package
-from quizmill.storage import new_path
+from quizmill.storage import materialize, new_path
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of ``ids`` (null is one), in their own columns."""
-    named = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").select(docs.columns)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a key of each row, written before use: ids may be null or repeated."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``kept``, in their own columns."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def clean_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +41,17 @@ def clean_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return _keep(docs, quality.label(docs.select("doc_id", "text")).where("kept").select("doc_id"))
+    rows = _keyed(docs, "quality_rows")
+    return _keep(rows, quality.label(rows.select("_row", "text"), "_row").where("kept"))
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    classes = jaccard.classify(docs.select("doc_id", "text"))
-    return _keep(docs, classes.where("doc_id <=> component_id").select("doc_id"))
+    rows = _keyed(docs, "near_rows")
+    classes = jaccard.classify(rows.select("_row", "text"), "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    ordered = rows.select("_row", order.alias("first")).join(classes.select("_row", "component_id"), "_row")
+    return _keep(rows, ordered.groupBy("component_id").agg(F.min("first")["_row"].alias("_row")))
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -311,3 +312,18 @@ def test_filters_keep_rows_without_an_id(spark):
     near = corpus_pipeline.drop_near_copies(spark, rows, "")
     assert near.where("doc_id is null").count() == 1 and near.columns == rows.columns
     assert corpus_pipeline.cut_repeats(spark, rows, "").where("doc_id is null").count() == 1
+
+
+def test_filters_act_on_rows_without_or_with_repeated_ids(spark):
+    other = "quite another text of some words that is near to nothing else at all"
+    rows = [(None, TEXTS[0][1]), (None, TEXTS[0][1]), (5, other), (5, other), (5, "x y z"), (4, "a b c"), (6, "a b c"), (None, "a b c")]
+    near = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    assert got == sorted([(None, TEXTS[0][1]), (5, other), (5, "x y z"), (4, "a b c")], key=str)
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.clean_quality(spark, given, "")
+    without = corpus_pipeline.clean_quality(spark, given.withColumn("doc_id", F.lit(None).cast("bigint")), "")
+    same = corpus_pipeline.clean_quality(spark, given.withColumn("doc_id", F.lit(1).cast("bigint")), "")
+    want = sorted(str(r.text) for r in kept.collect())
+    assert 0 < len(want) < given.count()
+    assert sorted(str(r.text) for r in without.collect()) == sorted(str(r.text) for r in same.collect()) == want
