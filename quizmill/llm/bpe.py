@@ -8,7 +8,8 @@ without such a pair are done. Decoding joins ids to the tokens and aggregates th
 
 Words longer than ``LONG`` bytes, whose steps would each pass over all their positions, are contracted
 pair by pair with a heap, in the same order; the table of known words is emptied at ``KNOWN`` words.
-Both bound time and memory and change no result.
+Words go to queries by the rows that their steps may have, and ids are decoded in runs of ``RUN``, joined in
+order, so a text may be of any length. All of these bound time and memory and change no result.
 
 Defined results: a null or empty text has no ids and decodes to nothing; repeated rows and null ids of
 rows pass through; an empty table gives an empty result. Only the id and text are read.
@@ -35,6 +36,8 @@ LONG = 64
 KNOWN = 350_000
 #: Words of one query, and bytes of text handled at a time.
 WORDS, CHUNK = 40_000, 1_000_000
+#: Rows that one query's steps may have, and ids that one query decodes; one word or id at least.
+ROWS, RUN = 2_500_000, 500_000
 
 #: ``spot``: word * 65536 + position; ``next``, ``after``: spot and id of the neighbour to the right.
 CONTRACT = """
@@ -107,8 +110,7 @@ class Bpe:
                 self.known[word] = b"".join(i.to_bytes(4, "little") for i in self.contract(data))
             else:
                 by_query.append((word, data))
-        for a in range(0, len(by_query), WORDS):
-            part = by_query[a : a + WORDS]
+        for part in self.parts(by_query):
             sizes = np.array([len(d) for _, d in part])
             word = np.repeat(np.arange(len(part)), sizes)
             spot = (word << 16) + np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -124,6 +126,20 @@ class Bpe:
             for k, w in enumerate(got.column("word").to_pylist()):
                 self.known[part[w][0]] = values[ends[k] : ends[k + 1]].tobytes()
 
+    def parts(self, words: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+        """Words in lists for one query each: a word of n bytes has up to n rows, then one less a step."""
+        part, rows = [], 0
+        for word in words:
+            n = len(word[1])
+            own = n * (n + 1) // 2
+            if part and (len(part) >= WORDS or rows + own > ROWS):
+                yield part
+                part, rows = [], 0
+            part.append(word)
+            rows += own
+        if part:
+            yield part
+
     def contract(self, data: bytes) -> list[int]:
         """The same contraction of one long word, by a heap of (rank, place)."""
         ids = [int(self.byte[b]) for b in data]
@@ -165,16 +181,31 @@ class Bpe:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
-        sizes = np.array([len(c) // 4 for c in coded])
+        out: list[list[bytes]] = [[] for _ in coded]
+        pieces: list[tuple[int, bytes]] = []
+        held = 0
+        for text, ids in enumerate(coded):
+            for a in range(0, len(ids), 4 * RUN):
+                piece = ids[a : a + 4 * RUN]
+                if held + len(piece) > 4 * RUN:
+                    self.decode_run(pieces, out)
+                    pieces, held = [], 0
+                pieces.append((text, piece))
+                held += len(piece)
+        if pieces:
+            self.decode_run(pieces, out)
+        return [b"".join(parts) for parts in out]
+
+    def decode_run(self, pieces: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Add what the pieces of texts stand for to their texts, of each text one piece at most."""
+        sizes = np.array([len(c) // 4 for _, c in pieces])
         self.fill("ids", {
-            "text": np.repeat(np.arange(len(coded)), sizes),
+            "text": np.repeat(np.array([t for t, _ in pieces]), sizes),
             "place": np.arange(sizes.sum()),
-            "id": np.frombuffer(b"".join(coded), "<u4").astype(np.int64),
+            "id": np.frombuffer(b"".join(c for _, c in pieces), "<u4").astype(np.int64),
         })
-        out = [b""] * len(coded)
         for text, decoded in self.db.execute(DECODE).fetchall():
-            out[text] = decoded.encode("latin-1")
-        return out
+            out[text].append(decoded.encode("latin-1"))
 
 
 _workers: dict[tuple[str, str], Bpe] = {}

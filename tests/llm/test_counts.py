@@ -46,6 +46,20 @@ def test_bpe_long_and_short_words_agree():
             assert np.frombuffer(worker.known[word], "<u4").tolist() == worker.contract(word.encode())
 
 
+def test_bpe_of_long_texts_and_many_long_words():
+    worker = bpe.worker(P.path(bpe.RANKS), P.PATTERN)
+    ids = np.random.default_rng(1).integers(0, 256, 9_000_000)
+    letters = [bytes([b]) for b in range(256)]
+    coded = np.array([worker.ranks[x] for x in letters], "<u4")[ids].tobytes()
+    assert worker.decode([coded[:8], b"", coded, coded[-12:]]) == [bytes(x.astype(np.uint8)) for x in (ids[:2], ids[:0], ids, ids[-3:])]
+    many = ["".join(words(30, k))[:60] for k in range(6000)]
+    many = sorted({w for w in many if len(w.encode()) <= bpe.LONG})
+    worker.known.clear()
+    worker.learn(many)
+    for w in many[::100]:
+        assert np.frombuffer(worker.known[w], "<u4").tolist() == worker.contract(w.encode())
+
+
 @pytest.mark.parametrize("text", ["a\x1cb c", "it's DON'T 's", "a\xa0b ﬁ ３４ Ⅷ½", "<|endoftext|>x", "\x00 \x85 é́", "İSTANBUL, ΣΑΣ. Straße, Ǆ. ªº. x.y, 's.", ""])
 def test_words_have_the_ids_of_whole_texts(text):
     got = np.frombuffer(tokens.encoder(tokens.default_path()).ids(text.encode()), "<u4").tolist()
