@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quizmill.llm import bpe, jaccard, lattice, packing, pages, quality, quotes, rans, suffixes, toxicity
+from quizmill.llm import bpe, counts, jaccard, lattice, packing, pages, quality, quotes, rans, suffixes, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_rans": rans.op8_rans,
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_counts": counts.op11_counts,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
