@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quizmill.llm import bpe, counts, jaccard, lattice, packing, pages, quality, quotes, rans, suffixes, toxicity
+from quizmill.llm import bpe, counts, jaccard, lattice, packing, pages, quality, quotes, rans, suffixes, toxicity, trie
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_counts": counts.op11_counts,
+    "op12_trie": trie.op12_trie,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
@@ -25,6 +26,7 @@ ORACLE: dict[str, str] = {
     "op7_lattice": lattice.SQL,
     "op9_quality": quality.SQL,
     "op10_jaccard": jaccard.SQL,
+    "op12_trie": trie.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
