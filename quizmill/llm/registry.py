@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quizmill.llm import bpe, counts, jaccard, lattice, packing, pages, quality, quotes, rans, suffixes, toxicity, trie
+from quizmill.llm import bpe, counts, jaccard, lattice, packing, pages, phrases, quality, quotes, rans, suffixes, toxicity, trie
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_counts": counts.op11_counts,
     "op12_trie": trie.op12_trie,
+    "op13_phrases": phrases.op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
@@ -27,6 +28,7 @@ ORACLE: dict[str, str] = {
     "op9_quality": quality.SQL,
     "op10_jaccard": jaccard.SQL,
     "op12_trie": trie.SQL,
+    "op13_phrases": phrases.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
