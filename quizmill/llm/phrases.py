@@ -20,9 +20,9 @@ parts of some ``CHUNK`` bytes cut between pieces; a single piece is held whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizmill.llm.shingles import U, mix, numbers
+from quizmill.llm.shingles import LETTERS, U, mix, numbers
 from quizmill.storage import materialize
 
 SUPPORT, LONGEST, TOP = 10, 3, 2000
 SHARDS = 3
 BITS = 27
-#: Bytes of text held split at a time, known words, and counts held before they are given out.
-CHUNK, KNOWN, HELD = 2_000_000, 300_000, 2_000_000
+#: Bytes of text held split at a time, and hashes held before their counts are given out (strings: a tenth).
+CHUNK, HELD = 1_000_000, 3_000_000
 #: A candidate goes where the part of it that a longer one leaves is at most half.
 INSIDE = 50
 #: Parts of a language whose first rows are found apart.
@@ -49,45 +49,36 @@ FLAT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdef
 FACTORS = numbers(8, 11)
 
 
-class _Words(dict):
-    """Word to its 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return found
-
-
-_known = _Words()
-
-
 class Part:
-    """Split text of one language: its words, and hashes of the phrases that begin at each word."""
-
-    def __init__(self, lang: str, data: bytes):
-        self.lang = lang
-        pieces = list(map(bytes.split, data.split(b"\n")))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.words: list[bytes] = list(chain.from_iterable(pieces))
-        n = len(self.words)
+    """Text of one language: where its words are, and hashes of the phrases that begin at each word."""
+
+    def __init__(self, lang: str, text: bytes):
+        self.lang, self.text = lang, re.sub(b"  +", b" ", text) if b"  " in text else text
+        data = np.frombuffer(self.text, np.uint8)
+        letters = np.flatnonzero((data != 32) & (data != 10))
+        first = np.flatnonzero(np.diff(letters, prepend=-2) > 1)
+        self.starts, self.ends = letters[first], letters[np.append(first[1:], len(letters))[: len(first)] - 1] + 1
+        place = np.arange(len(letters)) - np.repeat(first, np.diff(first, append=len(letters)))
+        powers = numbers(int(place.max(initial=0)) + 1, 2)
+        self.hashes = mix(np.add.reduceat(LETTERS[data[letters]] * powers[place], first)) if len(first) else np.zeros(0, U)
         #: Words from each word to the end of its piece.
-        self.room = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
-        if len(_known) > KNOWN:
-            _known.clear()
-        self.hashes = np.fromiter(map(_known.__getitem__, self.words), U, n)
-        self.seed = U(_known[b"\n" + lang.encode()])
+        heads = np.unique(np.append(np.searchsorted(self.starts, np.flatnonzero(data == 10)), len(first)))
+        at = np.arange(len(first))
+        self.room = heads[np.searchsorted(heads, at, side="right")] - at if len(first) else at
+        self.seed = U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
     def phrases(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(whether a phrase of ``width`` words begins at each word, its hash)."""
-        n = max(0, len(self.words) - width + 1)
+        n = max(0, len(self.hashes) - width + 1)
         out = np.full(n, self.seed, U)
         for k in range(width):
             out += self.hashes[k : n + k] * FACTORS[k]
         return self.room[:n] >= width, mix(out + U(width))
 
-    def strings(self, width: int, which: np.ndarray) -> Iterator[bytes]:
+    def strings(self, width: int, which: np.ndarray) -> list[bytes]:
         """The phrases of ``width`` words at the places marked in ``which``."""
-        marks = which.tolist()
-        return map(b" ".join, zip(*(compress(self.words[k:], marks) for k in range(width)), strict=False))
+        at, text = np.flatnonzero(which), self.text
+        return [text[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + width - 1].tolist(), strict=True)]
 
 
 def _parts(langs: pa.Array, texts: pa.Array) -> Iterator[Part]:
@@ -160,77 +151,48 @@ def bitmap(found: DataFrame, by_shard: bool, bits: int):
     return found.sparkSession.sparkContext.broadcast(table.view(U))
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(shard, lang, word, hash, n) of every word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (shard, lang, seed), words in held.items():
-                if not words:
-                    continue
-                hashes = np.fromiter(map(_known.__getitem__, words), U, len(words))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([shard] * len(words), pa.int32()), pa.array([lang] * len(words)), pa.array(list(words), pa.binary()),
-                    pa.array(mix(hashes * FACTORS[0] + U(seed) + U(1)).view(np.int64)), pa.array(list(words.values()), pa.int64()),
-                ], names=["shard", "lang", "word", "hash", "n"])
-
-        for batch in batches:
-            for shard, part in _split(batch):
-                held.setdefault((shard, part.lang, int(part.seed)), Counter()).update(part.words)
-                if sum(map(len, held.values())) > HELD // 4:
-                    yield from rows()
-                    held.clear()
-        yield from rows()
-
-    schema = "shard int, lang string, word binary, hash long, n long"
-    return docs.mapInArrow(run, schema).groupBy("shard", "lang", "word", "hash").agg(F.sum("n").alias("n"))
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of ``n``. Tasks have summed what they held, so rows go to their keys as they are."""
+    return rows.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def mine(docs: DataFrame, width: int, shorter, least: int, bits: int) -> DataFrame:
     """(shard, hash) of the phrases of ``width`` words that a shard holds ``least`` times; ``shorter`` is
-    the shards' bitmap of frequent phrases one word shorter."""
+    the shards' bitmap of frequent phrases one word shorter (none for single words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         size = 0
 
-        def rows(give: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            size = 0
+        def rows() -> Iterator[pa.RecordBatch]:
             for shard, some in held.items():
-                hashes, at = np.unique(np.concatenate([h for h, _ in some]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([n for _, n in some])).astype(np.int64)
-                held[shard] = [] if give else [(hashes, counts)]
-                size += 0 if give else len(hashes)
-                if give:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(hashes), shard, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
-                        names=["shard", "hash", "n"],
-                    )
-            if give:
-                held.clear()
+                hashes, counts = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(hashes), shard, np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
+                    names=["shard", "hash", "n"],
+                )
+            held.clear()
 
         for batch in batches:
             for shard, part in _split(batch):
-                fits, hashes = part.phrases(width)
-                ok = _marked(shorter.value, part.phrases(width - 1)[1], shard, bits)
-                found = hashes[fits & ok[: len(fits)] & ok[1 : len(fits) + 1]]
-                held.setdefault(shard, []).append((found, np.ones(len(found))))
-                size += len(found)
+                which, hashes = part.phrases(width)
+                if shorter is not None:
+                    ok = _marked(shorter.value, part.phrases(width - 1)[1], shard, bits)
+                    which &= ok[: len(which)] & ok[1 : len(which) + 1]
+                held.setdefault(shard, []).append(hashes[which])
+                size += len(held[shard][-1])
                 if size > HELD:
-                    yield from rows(False)
-                    if size > HELD // 2:
-                        yield from rows(True)
-        yield from rows(True)
+                    yield from rows()
+                    size = 0
+        yield from rows()
 
-    counted = docs.mapInArrow(run, "shard int, hash long, n long").groupBy("shard", "hash").agg(F.sum("n").alias("n"))
+    counted = _summed(docs.mapInArrow(run, "shard int, hash long, n long"), "shard", "hash")
     return counted.where(F.col("n") >= least).select("shard", "hash")
 
 
 def count_candidates(docs: DataFrame, tables: dict[int, object], bits: int) -> DataFrame:
-    """(lang, phrase, width, n): exact counts of every phrase that ``tables`` (by width) let through."""
+    """(lang, phrase, width, n): exact counts of every phrase that ``tables`` (by width) let through;
+    width 0 has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Counter] = {}
@@ -246,16 +208,17 @@ def count_candidates(docs: DataFrame, tables: dict[int, object], bits: int) -> D
 
         for batch in batches:
             for part in _parts(batch.column(1), batch.column(2)):
+                held.setdefault((part.lang, 0), Counter())[b""] += len(part.hashes)
                 for width, table in tables.items():
                     fits, hashes = part.phrases(width)
                     which = fits & _marked(table.value, hashes, None, bits)
                     held.setdefault((part.lang, width), Counter()).update(part.strings(width, which))
-                if sum(map(len, held.values())) > HELD // 4:
+                if sum(map(len, held.values())) > HELD // 10:
                     yield from rows()
         yield from rows()
 
     schema = "lang string, phrase binary, width int, n long"
-    return docs.mapInArrow(run, schema).groupBy("lang", "phrase", "width").agg(F.sum("n").alias("n"))
+    return _summed(docs.mapInArrow(run, schema), "lang", "phrase", "width")
 
 
 def _first(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
@@ -274,20 +237,17 @@ def collocations(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
     least = -(-support // shards)
-    words = materialize(count_words(rows), "words")
-    frequent = words.where(F.col("n") >= least)
-    tables = {}
-    for width in range(2, longest + 1):
-        shorter = bitmap(frequent, True, bits)
+    tables, shorter = {}, None
+    for width in range(1, longest + 1):
         frequent = materialize(mine(rows, width, shorter, least, bits), "frequent")
         tables[width] = bitmap(frequent, False, bits)
-    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    single = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n"))
-    counted = single.select("lang", "phrase", F.lit(1).alias("width"), "n").union(count_candidates(rows, tables, bits))
-    counted = materialize(
-        counted.where(F.col("n") >= support).withColumn("phrase", F.col("phrase").cast("string")), "counted"
-    )
-    return rank(counted, total, longest, top)
+        if shorter is not None:
+            shorter.unpersist()
+        shorter = bitmap(frequent, True, bits) if width < longest else None
+    counted = count_candidates(rows, tables, bits).where((F.col("n") >= support) | (F.col("width") == 0))
+    counted = materialize(counted.withColumn("phrase", F.col("phrase").cast("string")), "counted")
+    total = counted.where("width = 0").select("lang", F.col("n").alias("total"))
+    return rank(counted.where("width > 0"), total, longest, top)
 
 
 def rank(counted: DataFrame, total: DataFrame, longest: int, top: int) -> DataFrame:

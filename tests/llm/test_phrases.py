@@ -105,5 +105,5 @@ def test_parts_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(phrases, "CHUNK", 20)
     text = b"one two. three four five six seven eight nine ten; eleven\n" * 5 + b"x" * 100
     parts = list(phrases._parts(pa.array(["en"]), pa.array([text], pa.binary())))
-    assert len(parts) > 5 and sum(len(p.words) for p in parts) == 56
-    assert np.unique(np.concatenate([p.phrases(2)[1][p.phrases(2)[0]] for p in parts if len(p.words) > 1])).size == 8
+    assert len(parts) > 5 and sum(len(p.hashes) for p in parts) == 56
+    assert np.unique(np.concatenate([p.phrases(2)[1][p.phrases(2)[0]] for p in parts if len(p.hashes) > 1])).size == 8
