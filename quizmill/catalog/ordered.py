@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quizmill import constants as C
 from quizmill.catalog import views as V
 from quizmill.catalog.validate import GATE, gated
 from quizmill.functions import records as R
@@ -221,7 +222,7 @@ def a11(spark, d):
     return failures.unionByName(judges)
 
 
-CROSS = """
+CROSS = f"""
 sec AS (SELECT issue, seq, CASE WHEN starts_with(issue, 'success:') THEN 'SUCCESSFUL STRATEGIES TO REPLICATE'
    WHEN starts_with(issue, 'evidence') OR contains(issue, 'evidence:') THEN 'EVIDENCE & GROUNDING' ELSE 'COMMON MISTAKES TO AVOID' END AS section,
    CASE WHEN starts_with(issue, 'success:') THEN 'suc' WHEN starts_with(issue, 'evidence') OR contains(issue, 'evidence:') THEN 'evi' ELSE 'err' END AS slug
@@ -230,8 +231,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY seq, issue) AS
 hv AS (SELECT section, count(*) AS have FROM bullets GROUP BY section),
 tp AS (SELECT substr(bullet_id, 1, 3) AS slug, max(CAST(substr(bullet_id, 5) AS BIGINT)) AS top FROM bullets GROUP BY ALL),
 nw AS (SELECT section, printf('%s-%05d', slug, coalesce(top, 0) + rank) AS bullet_id, issue,
-   CASE WHEN starts_with(issue, 'success:') THEN 'Replicate the successful pattern (3 occurrences): ' || issue || '.'
-     ELSE 'Before generation, prevent recurring failure (3 occurrences): ' || issue || '.' END AS content
+   CASE WHEN starts_with(issue, 'success:') THEN printf('{C.RULE_SUCCESS}', 3, issue)
+     ELSE printf('{C.RULE_FAILURE}', 3, issue) END AS content
   FROM rk LEFT JOIN hv USING (section) LEFT JOIN tp USING (slug) WHERE rank + coalesce(have, 0) <= 40)"""
 
 

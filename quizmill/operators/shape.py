@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quizmill import constants as C
 from quizmill.functions import records as R
 from quizmill.functions import text as X
+from quizmill.operators.attempts import ENTRIES
 from quizmill.operators.ordering import number_rows
 
 
@@ -402,9 +403,16 @@ def assemble_records(df: DataFrame, split: str = "train", playbook_version: str
     """The nested output record.
 
     Needs ``id, draft, refs, level, difficulty, method, topic, subtopic, skill, rubric,
-    reports, verdict, reasons, anchor_id, attempts``. Clinical fields stay null elsewhere,
-    so that JSON sinks leave them out.
+    reports, verdict, reasons, anchor_id, attempts``; takes ``playbook_delta, max_retries, history,
+    feedback, failed_draft`` where they are there. Clinical fields stay null elsewhere, so that JSON
+    sinks leave them out.
     """
+    changes = "array<struct<op:string,section:string,bullet_id:string,content:string>>"
+    past = f"array<struct<attempt:int,route:string,feedback:{ENTRIES}>>"
+
+    def given(name: str, kind: str, default: Column) -> Column:
+        return F.coalesce(F.col(name).cast(kind), default.cast(kind)) if name in df.columns else default.cast(kind)
+
     d, method = F.col("draft"), F.col("method")
     text = lambda n: F.coalesce(d[n], F.lit(""))
     none = F.create_map().cast("map<string,string>")
@@ -460,7 +468,12 @@ def assemble_records(df: DataFrame, split: str = "train", playbook_version: str
             F.col("reports").alias("judge_reports"),
             F.col("verdict"),
             F.col("reasons").alias("quarantine_reason"),
+            given("playbook_delta", changes, F.array()).alias("playbook_delta"),
             F.col("attempts").alias("generation_attempts"),
+            given("max_retries", "int", F.lit(C.MAX_RETRIES)).alias("max_generation_retries"),
+            given("history", past, F.array()).alias("repair_history"),
+            given("feedback", ENTRIES, F.array()).alias("generation_feedback"),
+            given("failed_draft", "string", F.lit("{}")).alias("failed_generation_draft"),
             F.transform("refs", lambda r: r["chunk_id"]).alias("retrieved_chunk_ids"),
         ).alias("_audit"),
         F.when(clinical, text("clinical_case")).alias("clinical_case"),
