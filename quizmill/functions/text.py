@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quizmill import constants as C
 
-WORD = r"[\p{L}\p{N}_]+"
-MEMORY_WORD = r"[\p{L}\p{N}_]{3,}"
+# a-z, tested first, and no way back: the same words in less time
+WORD = r"[a-z\p{L}\p{N}_]++"
+MEMORY_WORD = r"[a-z\p{L}\p{N}_]{3,}+"
 HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 
 

@@ -256,19 +256,31 @@ def similar_failures(
 ) -> DataFrame:
     """Most similar earlier failures of the same judge; the older one wins a tie.
 
-    ``items``: ``item_id, judge, level, question``; ``memory``: ``seq, judge, level, question``.
-    The memory side is normally bounded and broadcast; a larger one is met in blocks.
+    ``items``: ``item_id, judge, level, question``; ``memory``: ``seq, judge, level, question``. With a
+    list ``judges`` in place of ``judge`` a question is split into words once for all of them, and the
+    result has a column ``judge``. The memory side is normally bounded and broadcast; a larger one is
+    met in blocks.
     """
+    many = "judges" in items.columns
     q = items.select(
-        F.col("item_id").alias("query"), F.col("judge").alias("group"), "level",
+        "item_id", *(["judges"] if many else [F.col("judge").alias("group")]), "level",
         X.memory_words(F.coalesce("question", F.lit(""))).alias("words"),
     )
+    if many:
+        q = q.select("item_id", F.explode("judges").alias("group"), "level", "words")
+    q = q.select((F.concat_ws("|", "group", "item_id") if many else F.col("item_id")).alias("query"), "group", "level", "words")
     c = memory.select(
         F.col("seq").alias("doc"), F.col("judge").alias("group"), "level",
         X.memory_words(F.coalesce("question", F.lit(""))).alias("words"),
     )
-    found = best_matches(q, c, WordOverlap(), k, prefer="corpus", force=force)
-    return _named(found, "item_id", "seq")
+    found = _named(best_matches(q, c, WordOverlap(), k, prefer="corpus", force=force), "item_id", "seq")
+    if not many:
+        return found
+    at = F.locate("|", "item_id")
+    return found.select(
+        F.substr("item_id", at + 1).cast(items.schema["item_id"].dataType).alias("item_id"),
+        F.substr("item_id", F.lit(1), at - 1).alias("judge"), "seq", "score", "rank",
+    )
 
 
 def nearest_rule(

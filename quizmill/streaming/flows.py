@@ -1,18 +1,24 @@
 """Continuous forms of the gate, the issue counter and the anchor filter.
 
-Each micro-batch writes to its own ``batch_id`` folder, replaced when a batch is run again, so
-every record is written exactly once across restarts.
+Every record is written exactly once across restarts: the gate's micro-batches write to folders of their
+own, replaced when a batch is run again; the others write through the engine's file log, with state
+by key on the executors' disks (RocksDB) and its changes in the checkpoint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quizmill import constants as C
 from quizmill.functions import records as R
-from quizmill.sources.jsonl import path_exists
 
 ITEM = (
     "id string, level string, difficulty string, question string, options map<string,string>, "
@@ -59,41 +65,110 @@ def stream_gate(items: DataFrame, out: str, checkpoint: str, trigger: dict | Non
     )
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State on the executors' disks, with its changes written at each batch; for queries started inside."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class _Threshold(StatefulProcessor):
+    """Events of an issue so far, and whether it was given out."""
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long, emitted boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, emitted = self.seen.get() if self.seen.exists() else (0, False)
+        n += int(sum(part["n"].sum() for part in rows))
+        if not emitted and n >= self.threshold:
+            emitted = True
+            yield pd.DataFrame({"issue": [key[0]], "support": [n]})
+        self.seen.update((n, emitted))
+
+    def close(self) -> None:
+        pass
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts within a task, so that a frequent issue is a row a batch of rows."""
+    for batch in batches:
+        found = batch.column(0).value_counts()
+        yield pa.RecordBatch.from_arrays(
+            [found.field("values"), found.field("counts").cast(pa.int64())], names=["issue", "n"]
+        )
+
+
 def stream_recurring_issues(
     events: DataFrame, out: str, checkpoint: str, threshold: int = C.REPEAT_THRESHOLD,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Emit each issue once, in the batch in which its running count reaches the threshold.
 
-    Counts are kept by the engine, summed inside each task first; only issues over the
-    threshold are compared with those emitted before.
+    A micro-batch reads and changes the state of its own issues only; what was emitted before is never
+    read again. ``out`` gets (issue, support).
     """
-    counts = events.groupBy("issue").agg(F.count(F.lit(1)).alias("support"))
-    schema = "issue string, support bigint, batch_id bigint"
-
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        over = batch.where(F.col("support") >= threshold)
-        if path_exists(spark, f"{out}/batch_id=*"):
-            before = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch_id=*")
-            earlier = before.where(F.col("batch_id") < batch_id).select("issue")
-            over = over.join(earlier, "issue", "left_anti")
-        over.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return (
-        counts.writeStream.outputMode("update").foreachBatch(emit)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+    counts = events.select("issue").mapInArrow(_counted, "issue string, n long").where("issue IS NOT NULL")
+    over = counts.groupBy("issue").transformWithStateInPandas(
+        _Threshold(threshold), "issue string, support long", "Append", "None"
     )
+    with _rocksdb(events.sparkSession):
+        return (
+            over.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
-def stream_unused_anchors(chunks: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Pass each chunk id on once, also over restarts. The state grows with the distinct ids."""
-    return (
-        chunks.dropDuplicates(["chunk_id"])
-        .writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+class _Once(StatefulProcessor):
+    """The first row of a key that is not in the initial state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "used boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.used.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = next((part.head(1) for part in rows if len(part)), None)
+        if first is not None and not self.used.exists():
+            self.used.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def stream_unused_anchors(
+    chunks: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, used: DataFrame | None = None
+) -> StreamingQuery:
+    """Pass each chunk id on once, also over restarts, and none of ``used`` (chunk_id), from which the first
+    state is filled. The ids lie on the executors' disks; memory holds a bounded part of them."""
+    spark = chunks.sparkSession
+    if used is None:
+        used = spark.createDataFrame([], T.StructType([chunks.schema["chunk_id"]]))
+    known = used.select("chunk_id").where("chunk_id IS NOT NULL").distinct()
+    once = chunks.where("chunk_id IS NOT NULL").groupBy("chunk_id").transformWithStateInPandas(
+        _Once(), chunks.schema, "Append", "None", initialState=known.groupBy("chunk_id")
     )
+    with _rocksdb(spark):
+        return (
+            once.writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )

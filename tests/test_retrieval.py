@@ -143,3 +143,53 @@ def test_refused_pair_leaves_both_free(spark):
     assert sorted((r["left_id"], r["right_id"]) for r in got.collect()) == [(1, 3), (2, 4)]
     best = matching.similar_pairs(None, approved=approved, max_pairs=1).collect()
     assert [(r["left_id"], r["right_id"]) for r in best] == [(1, 3)]
+
+
+def test_shared_words_of_a_wide_vocabulary(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quizmill.operators.topk import WordOverlap
+
+    rng = np.random.default_rng(5)
+
+    def texts(n, most, vocabulary):
+        rows = [np.unique(np.minimum(rng.zipf(1.2, rng.integers(0, most)) + rng.integers(0, 2), vocabulary)) for _ in range(n)]
+        return pa.table({"words": pa.array([[f"w{x}" for x in r] for r in rows], pa.list_(pa.string())), "level": ["a"] * n})
+
+    kernel = WordOverlap()
+    q, c = texts(60, 40, 300), texts(90, 40, 300)
+    want = [[len(set(a) & set(b)) for b in c["words"].to_pylist()] for a in q["words"].to_pylist()]
+    for dense, hits in ((256, 4_000_000), (3, 50), (0, 1)):
+        monkeypatch.setattr(WordOverlap, "DENSE", dense)
+        monkeypatch.setattr(WordOverlap, "HITS", hits)
+        assert kernel.common(kernel.side(q), kernel.side(c)).tolist() == want
+    monkeypatch.undo()
+    # 200,000 words: as a table of rows and words the queries alone would be 1.6 GB
+    wide = [pa.table({"words": pa.array([[f"w{x}" for x in np.unique(rng.integers(0, 200_000, 300))] for _ in range(n)]), "level": ["a"] * n}) for n in (2048, 1900)]
+    sides = [kernel.side(t) for t in wide]
+    tracemalloc.start()
+    kernel.score(*sides)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_several_judges_of_an_item(spark):
+    from pyspark.sql import functions as F
+
+    from quizmill.operators import retrieve as RT
+
+    memory = spark.createDataFrame(
+        [(1, "e", "x", "red green blue"), (2, "e", "y", "red green"), (3, "b", "x", "blue blue sky"), (4, "e", "x", "none at all")],
+        "seq bigint, judge string, level string, question string",
+    )
+    items = spark.createDataFrame(
+        [("i|1", "x", "red blue green", ["e", "b"]), ("i2", "y", None, ["e"]), ("i3", "x", "sky", [])],
+        "item_id string, level string, question string, judges array<string>",
+    )
+    long = items.withColumn("judge", F.explode("judges")).drop("judges").withColumn("item_id", F.concat_ws("#", "item_id", "judge"))
+    want = sorted((*r["item_id"].split("#"), r["seq"], r["score"], r["rank"]) for r in RT.similar_failures(long, memory).collect())
+    got = RT.similar_failures(items, memory).select("item_id", "judge", "seq", "score", "rank").collect()
+    assert sorted(tuple(r) for r in got) == want and len(want) > 4
