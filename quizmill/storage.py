@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +33,33 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quizmill-{spark.sparkContext.applicationId}"
 
 
+_groups: list[str] = []
+
+
+@contextmanager
+def group(name: str) -> Iterator[None]:
+    """Intermediate tables made inside go to a folder of their own, which ``forget_intermediates`` can
+    delete apart from the others."""
+    _groups.append(f"/{name}")
+    try:
+        yield
+    finally:
+        _groups.pop()
+
+
+def group_path(spark: SparkSession, name: str = "") -> str:
+    return _own_dir(spark) + (f"/{name}" if name else "")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_dir(spark)}{''.join(_groups)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def forget_intermediates(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application; call it when its results are stored."""
+def forget_intermediates(spark: SparkSession, name: str = "") -> None:
+    """Delete the intermediate tables of this application, or of one ``group``; call it when the results
+    made from them are stored."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = jvm.org.apache.hadoop.fs.Path(group_path(spark, name))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

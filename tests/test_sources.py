@@ -115,3 +115,17 @@ def test_state_versions(spark, tmp_path):
     assert sinks.load_state(spark, base).count() == 3
     assert sinks.save_state(spark.range(5), base) == 3
     assert sinks.load_state(spark, base).count() == 5
+
+
+def test_groups_of_intermediates(spark):
+    from pathlib import Path
+
+    from quizmill import storage
+
+    with storage.group("one"):
+        inside = storage.materialize(spark.range(3), "t")
+        path = storage.new_path(spark, "x")
+    outside = storage.materialize(spark.range(4), "t")
+    assert path.startswith(storage.group_path(spark, "one")) and inside.count() == 3
+    storage.forget_intermediates(spark, "one")
+    assert not Path(storage.group_path(spark, "one")).exists() and outside.count() == 4
