@@ -8,50 +8,61 @@ repeats        passages of 50 bytes or more that an earlier document has go; doc
                text stay, with an empty one
 packing        a row per piece of a document in a sequence of at most 4,096 tokens
 
-The first four return the columns of ``documents``. Their languages, sources and ids are carried along
-and never looked at.
+The first four return the columns of ``documents``, whatever their names. Their languages, sources and
+ids are carried along and never looked at.
+
+A stage of ``STAGES`` begins when its predecessor's result is written, and deletes the intermediate tables of
+the stages before it. The functions below can be called by themselves; they delete nothing.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.llm import jaccard, packing, quality, suffixes, toxicity
 from quizmill.session import ship_package
-from quizmill.storage import materialize, new_path
+from quizmill.storage import forget_intermediates, group, group_path, materialize, new_path
 
+SCRATCH = "pipeline_stages"
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with a key of each row, written before use: ids may be null or repeated."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents with a key of each row, written before use (ids may be null or repeated), and the
+    key's name, which no column has."""
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
-def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+
+def _keep(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """The rows of ``kept``, in their own columns."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+    return rows.join(kept.select(key), key, "left_semi").drop(key)
 
 
 def clean_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    model = toxicity.fit_folds(spark, docs, sf_dir)
-    scored = toxicity.score(docs, model, passages=False)
-    return scored.where(F.col("score") < 0.5).select(docs.columns)
+    model = toxicity.fit_folds(spark, docs.select("doc_id", "text"), sf_dir)
+    rows = docs.select("text", F.struct("*").alias("own"))  # apart from the model's columns
+    return toxicity.score(rows, model, passages=False).where(F.col("score") < 0.5).select("own.*")
 
 
 def clean_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    rows = _keyed(docs, "quality_rows")
-    return _keep(rows, quality.label(rows.select("_row", "text"), "_row").where("kept"))
+    rows, key = _keyed(docs, "quality_rows")
+    return _keep(rows, quality.label(rows.select(key, "text"), key).where("kept"), key)
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    rows = _keyed(docs, "near_rows")
-    classes = jaccard.classify(rows.select("_row", "text"), "_row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    ordered = rows.select("_row", order.alias("first")).join(classes.select("_row", "component_id"), "_row")
-    return _keep(rows, ordered.groupBy("component_id").agg(F.min("first")["_row"].alias("_row")))
+    rows, key = _keyed(docs, "near_rows")
+    classes = jaccard.classify(rows.select(key, "text"), key)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), key)
+    ordered = rows.select(key, order.alias("first")).join(classes.select(key, "component_id"), key)
+    return _keep(rows, ordered.groupBy("component_id").agg(F.min("first")[key].alias(key)), key)
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +77,26 @@ def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _stage(work):
+    """The stage, free of what earlier ones left behind; its own intermediates lie in a group."""
+
+    @functools.wraps(work)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = "/".join(group_path(spark, SCRATCH).rsplit("/", 2)[1:])
+        if not any(left in path for path in docs.inputFiles()):
+            forget_intermediates(spark, SCRATCH)
+        with group(SCRATCH):
+            return work(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", clean_toxicity),
-    ("quality", clean_quality),
-    ("near_copies", drop_near_copies),
-    ("repeats", cut_repeats),
-    ("packing", pack),
+    ("toxicity", _stage(clean_toxicity)),
+    ("quality", _stage(clean_quality)),
+    ("near_copies", _stage(drop_near_copies)),
+    ("repeats", _stage(cut_repeats)),
+    ("packing", _stage(pack)),
 ]
 
 #: The model of the first stage and the packing are not SQL; tests replay the stages by brute force.
