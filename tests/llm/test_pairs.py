@@ -327,3 +327,26 @@ def test_filters_act_on_rows_without_or_with_repeated_ids(spark):
     want = sorted(str(r.text) for r in kept.collect())
     assert 0 < len(want) < given.count()
     assert sorted(str(r.text) for r in without.collect()) == sorted(str(r.text) for r in same.collect()) == want
+
+
+def test_stages_keep_clashing_columns_and_free_what_is_left(spark, tmp_path):
+    from pathlib import Path
+
+    from quizmill.storage import group_path
+
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    extra = {"score": F.lit(7), "passages": F.lit("p"), "_row": F.col("doc_id") * 2, "own": F.lit(1), "block": F.lit(2)}
+    given.withColumns(extra).write.parquet(str(tmp_path / "0"))
+    rows, made = spark.read.parquet(str(tmp_path / "0")), Path(group_path(spark, corpus_pipeline.SCRATCH))
+    before: set[str] = set()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4], 1):
+        out = stage(spark, rows, sf)
+        now = {p.name for p in made.glob("*")}
+        assert not now & before
+        before = now
+        out.write.parquet(str(tmp_path / str(k)))
+        rows = spark.read.parquet(str(tmp_path / str(k)))
+        assert rows.columns == given.columns + list(extra)
+        assert rows.where("score <> 7 or passages <> 'p' or _row <> doc_id * 2 or own <> 1 or block <> 2").count() == 0
+    assert 0 < rows.count() < 150
