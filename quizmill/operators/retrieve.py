@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quizmill import constants as C
 from quizmill.functions import text as X
 from quizmill.operators.evidence import first_wins, is_eligible, top_rows
+from quizmill.operators.ordering import PART, spread
 from quizmill.operators.topk import AnyWord, Bm25, Cosine, WordOverlap, best_matches
 from quizmill.storage import materialize
 
@@ -146,13 +148,15 @@ def retrieve_with_fallback(
 def tiered_retrieval(
     queries: DataFrame, tier1: DataFrame, tier2: DataFrame, first: Search, second: Search,
     max_k: int, max_tier1_k: int, query_id: str = "query_id", doc_id: str = "doc_id",
-    expansion_chars: int = C.EXPANSION_CHARS,
+    expansion_chars: int = C.EXPANSION_CHARS, passages: DataFrame | None = None,
 ) -> DataFrame:
     """Textbook passages first, then related material searched with the expanded query.
 
     ``queries`` carry ``k`` and ``tier1_k`` per row. The tier is set by the stage, not by the
-    stored value.
+    stored value. ``passages`` (id, content) has the texts of ``tier1``, if that is a join which texts
+    need not go through.
     """
+    passages = tier1 if passages is None else passages
     depth = queries.select(
         query_id, "query", "k", F.least("k", F.greatest(F.lit(1), "tier1_k")).alias("first_k")
     )
@@ -161,7 +165,7 @@ def tiered_retrieval(
     found = materialize(found.select(query_id, doc_id, "score", "rank"), "first-stage")
     per_chunk = max(C.EXPANSION_MIN_CHARS, expansion_chars)
     shown = found.join(
-        tier1.select(doc_id, F.substring("content", 1, per_chunk).alias("passage")), doc_id
+        passages.select(doc_id, F.substring("content", 1, per_chunk).alias("passage")), doc_id
     )
     context = shown.groupBy(query_id).agg(  # at most max_tier1_k passages per query
         F.array_sort(F.collect_list(F.struct("rank", "passage"))).alias("p"),
@@ -305,10 +309,21 @@ def used_ids(*tables: DataFrame) -> DataFrame:
 def sample_unused(
     chunks: DataFrame, used: DataFrame, n: int, key: str = "chunk_id", order: Column | None = None
 ) -> DataFrame:
-    """Unused chunks in a fixed pseudo-random order, the first ``n`` of them."""
+    """Unused chunks in a fixed pseudo-random order, the first ``n`` of them, whatever ``n``.
+
+    Keys (distinct) are dealt out by range of the order and counted in each part; parts before the bound
+    are taken whole, only the part on it is cut. No task sees more than its part.
+    """
     order = order if order is not None else F.xxhash64(F.col(key), F.lit(13))
-    free = chunks.join(used.select(key), key, "left_anti")
-    return free.orderBy(order, key).limit(n)
+    free = chunks.select(key).join(used.select(key), key, "left_anti").withColumn("_order", order)
+    parts = spread(free, ["_order", key], "free")
+    upto = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)  # one row a part
+    room = parts.groupBy(PART).agg(F.count(F.lit(1)).alias("_own")).withColumn("_before", F.coalesce(F.sum("_own").over(upto), F.lit(0)))
+    room = room.where(F.col("_before") < n)
+    here = W.partitionBy(PART).orderBy("_order", key)
+    taken = parts.join(F.broadcast(room), PART).withColumn("_rank", F.row_number().over(here))
+    taken = taken.where(F.col("_before") + F.col("_rank") <= n)
+    return chunks.join(taken.select(key), key, "left_semi")
 
 
 def check_dimension(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame:

@@ -129,3 +129,71 @@ def test_groups_of_intermediates(spark):
     assert path.startswith(storage.group_path(spark, "one")) and inside.count() == 3
     storage.forget_intermediates(spark, "one")
     assert not Path(storage.group_path(spark, "one")).exists() and outside.count() == 4
+
+
+def test_imports_write_and_embed_only_what_is_new(spark, tmp_path):
+    import json
+
+    from quizmill.plans.collection import ChunkCollection
+
+    log, folder, base = tmp_path / "log", tmp_path / "in", tmp_path / "base"
+    folder.mkdir()
+
+    def embed(texts):
+        with open(log, "a") as f:
+            f.writelines(json.dumps(t) + "\n" for t in texts)
+        if "fails once" in texts and open(log).read().count('"fails once"') == 1:
+            raise ValueError("down")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def put(name, rows):
+        (folder / name).write_text(json.dumps(rows))
+
+    def run():
+        before = log.read_text() if log.exists() else ""
+        files = {p for p in base.rglob("*.parquet")}
+        report = ChunkCollection(spark, str(base), embed, "m", 2, buckets=8, batch_size=1).import_folder(str(folder))
+        texts = sorted(json.loads(x) for x in log.read_text()[len(before):].splitlines())
+        return report, texts, {str(p) for p in base.rglob("*.parquet")} - {str(p) for p in files}
+
+    def stored():
+        rows = ChunkCollection(spark, str(base), embed, "m", 2).read().collect()
+        return {r["chunk_id"]: (r["content"], r["title"], r["embedding"] and r["embedding"][0]) for r in rows}
+
+    put("a.json", [{"uuid": f"u{k}", "content": "x" * (k + 1)} for k in range(20)] + [{"content": "same"}, {"content": "same"}, {"content": " "}])
+    report, texts, _ = run()
+    assert report["changed"] == 22 and len(texts) == report["embedded"] == 21
+    assert run() == ({"changed": 0, "buckets": 0, "embedded": 0}, [], set())
+    # a new text, a new title of an old text, and a text whose batch fails once
+    put("b.json", [{"uuid": "u3", "content": "changed"}, {"uuid": "u4", "content": "xxxxx", "title": "t"}, {"uuid": "n", "content": "fails once"}])
+    put("a.json", [{"uuid": "u7", "content": "x" * 8}])
+    report, texts, files = run()
+    assert report["changed"] == 3 and report["buckets"] <= 3 and texts == ["changed", "fails once"]
+    assert len({p.split("bucket=")[1][0] for p in files if "bucket=" in p}) == report["buckets"]
+    now = stored()
+    assert len(now) == 23 and now["u3"] == ("changed", None, 7.0) and now["u4"] == ("xxxxx", "t", 5.0) and now["n"][2] is None
+    report, texts, _ = run()
+    assert report == {"changed": 0, "buckets": 1, "embedded": 1} and texts == ["fails once"]
+    assert stored()["n"][2] == 10.0 and run()[0]["buckets"] == 0
+
+
+def test_a_stopped_import_is_not_seen(spark, tmp_path, monkeypatch):
+    from quizmill.plans.collection import ChunkCollection
+    from quizmill.sources import sinks
+
+    store = ChunkCollection(spark, str(tmp_path / "base"), lambda t: [[1.0] for _ in t], "m", 1, buckets=4)
+    rows = spark.createDataFrame([(f"u{k}", f"text {k}") for k in range(9)], "uuid string, content string")
+    columns = {c: chunks.CHUNK[c].dataType for c in chunks.CHUNK.names if c not in rows.columns}
+    from pyspark.sql import functions as F
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
+    store.import_rows(rows.limit(3))
+    before = sorted(r["chunk_id"] for r in store.read().collect())
+
+    def killed(*a):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(sinks, "save_state", killed)
+        store.import_rows(rows)
+    assert sorted(r["chunk_id"] for r in store.read().collect()) == before
+    assert store.import_rows(rows)["changed"] == 6 and store.read().count() == 9
