@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +34,15 @@ def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
     Quotes inside a field are doubled and fields may hold line breaks. Columns are taken by name,
     so files may have them in different orders.
     """
-    first = F.substring_index(F.decode("content", "UTF-8"), "\n", 1)
-    heads = spark.read.format("binaryFile").load(path).groupBy(first.alias("head")).agg(
-        F.collect_list("path").alias("paths")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
     )
+    # the first line of each file, from the task that reads its beginning
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    heads = first.groupBy("head").agg(F.collect_list("path").alias("paths"))
     # one row per distinct header line
-    parts = [_read_alike(spark, row.paths) for row in heads.collect()]
+    parts = [_read_alike(spark, [unquote(p) for p in row.paths]) for row in heads.collect()]
     if not parts:
         raise ValueError("Expert audit CSV: no file found")
     rows = parts[0]

@@ -56,6 +56,14 @@ def test_audit_csv_with_quotes_line_breaks_and_other_column_orders(spark, tmp_pa
     assert got == {"1": True, "2": True, "3": False}
 
 
+def test_audit_csv_with_odd_file_names(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"x {k}+.csv").write_text(f"method,id,key_correct\nfull,{k},true\n" + "full,9,x\n" * 100, encoding="utf-8")
+    assert sorted(r["id"] for r in audit.read_audit_csv(spark, str(folder)).collect()) == ["0", "1", "2"]
+
+
 def test_upsert_keeps_the_number_of_rows(spark):
     table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
     new = spark.createDataFrame([("a", 10, 1), ("a", 20, 2), ("c", 30, 1)], "k string, v int, at int")
