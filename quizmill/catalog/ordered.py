@@ -302,17 +302,37 @@ FROM bullets LEFT JOIN ct USING (bullet_id) WHERE helpful + harmful + coalesce(g
 UNION ALL SELECT section, bullet_id, 0, 0, md5(content) FROM nw""")
 def c03(spark, d):
     """One batch: counters, memories, new rules and pruning. Rules unused in it have waited
-    four cycles before, so this one drops them."""
+    four cycles before, so this one drops them. Issues count within the whole batch."""
+    return learned(spark, d, None)
+
+
+def learned(spark, d, window):
     from quizmill.plans.learn import learn
     bullets = V.bullets(spark, d)
     items = learned_items(spark, d).withColumn("pos", F.col("number") % 40).join(
         bullets.select("pos", F.array("bullet_id").alias("rule_ids")), "pos", "left"
     ).withColumn("rule_ids", F.coalesce("rule_ids", R.empty()))
     usage = bullets.select("bullet_id", F.lit(4).alias("unused_cycles"))
-    state = learn(items, bullets, usage=usage)
+    state = learn(items, bullets, usage=usage, window=window)
     return state.rules.select("section", "bullet_id", "helpful", "harmful", F.md5("content").alias("content_md5"))
 
 
+@query("C03_learn_window", "recs reports bullets", FAIL_ROWS + f""",
+ev AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS spot FROM fr),
+ew AS (SELECT *, max(spot) OVER (PARTITION BY doc_id) AS upto, lag(spot, 2) OVER (PARTITION BY issue ORDER BY spot) AS back FROM ev),
+cs AS (SELECT issue, min(spot) AS spot FROM ew WHERE back > upto - {C.MEMORY_EVENTS} GROUP BY issue),
+cr AS (SELECT issue, struct_pack(a := doc_id, b := pos) AS seq FROM cs JOIN ev USING (issue, spot)), {CROSS.strip()},
+us AS (SELECT (SELECT min(bullet_id) FROM bullets b WHERE b.pos = gate.doc_id % 40) AS bullet_id, len(issues) = 0 AS ok FROM gate),
+ct AS (SELECT bullet_id, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM us GROUP BY bullet_id)
+SELECT section, bullet_id, helpful + coalesce(good, 0) AS helpful, harmful + coalesce(bad, 0) AS harmful, md5(content) AS content_md5
+FROM bullets LEFT JOIN ct USING (bullet_id) WHERE helpful + harmful + coalesce(good, 0) + coalesce(bad, 0) > 0
+ OR bullet_id IN ('evi-00003', 'evi-00002', 'evi-00004')
+UNION ALL SELECT section, bullet_id, 0, 0, md5(content) FROM nw""")
+def c03_window(spark, d):
+    """The same with issues counted within the last 500 events at each item."""
+    return learned(spark, d, C.MEMORY_EVENTS)
+
+
 @query("C05_curate_outputs", "qa", f"""
 , kept AS (SELECT * FROM qa WHERE thinking IS NOT NULL AND question <> '' AND answer <> ''
    AND NOT contains(answer, 'Error parsing answer - Model failed to output <answer> tag')), {first_fit_sql('kept')}
