@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -482,14 +483,20 @@ def assemble_records(df: DataFrame, split: str = "train", playbook_version: str
 
 
 def next_record_id(outputs: DataFrame) -> int:
-    """One more than the highest numbered id; 1 when there is none."""
-    number = F.regexp_extract("id", r"^PSY-(\d+)$", 1)
-    top = outputs.agg(F.max(F.nullif(number, F.lit("")).try_cast("bigint"))).first()[0]
-    return 1 + (top or 0)
+    """One more than the highest numbered id, of up to 38 digits; 1 when there is none."""
+    number = F.nullif(F.regexp_extract("id", r"^PSY-0*(\d+)$", 1), F.lit(""))
+    longest = F.when(F.length(number) > 38, F.raise_error(F.lit("record ids have up to 38 digits"))).otherwise(number)
+    top = outputs.agg(F.max(longest.cast("decimal(38,0)"))).first()[0]
+    return 1 + int(top or 0)
 
 
 def assign_record_ids(df: DataFrame, order: list[str], start: int) -> DataFrame:
+    """Numbers from ``start`` in order and ids with them; numbers past 62 bits are decimals."""
     numbered = number_rows(df, order, "_n")
-    return numbered.withColumn("number", F.col("_n") + (start - 1)).withColumn(
-        "id", F.format_string("PSY-%06d", F.col("number"))
-    ).drop("_n")
+    if start < 1 << 62:
+        number = F.col("_n") + (start - 1)
+        name = F.format_string("PSY-%06d", number)
+    else:
+        number = (F.col("_n").cast("decimal(38,0)") + F.lit(Decimal(start - 1))).cast("decimal(38,0)")
+        name = F.concat(F.lit("PSY-"), number.cast("string"))
+    return numbered.withColumn("number", number).withColumn("id", name).drop("_n")

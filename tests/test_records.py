@@ -187,3 +187,19 @@ def test_flatten_json_keeps_private_use_letters(spark):
     rows = [(r'{"a": "x\ue000y", "b": ["say \"hi\"", "back\\slash", ""], "c\"d": "end"}'.replace("\\ue000", "\ue000"),)]
     got = spark.createDataFrame(rows, "j string").select(flatten_json(F.col("j")).alias("t")).first()["t"]
     assert got == 'x\ue000y say "hi" back\\slash end'
+
+
+def test_record_ids_of_many_digits(spark):
+    from quizmill.operators import shape as S
+
+    def start(*ids):
+        return S.next_record_id(spark.createDataFrame([(i,) for i in ids], "id string"))
+
+    assert start() == 1 and start("PSY-000007", "x", None, "PSY-", "PSY-12x") == 8
+    long = 10**24 + 5
+    assert start("PSY-000009", f"PSY-{long}", "PSY-" + "0" * 40 + "3") == long + 1
+    rows = spark.createDataFrame([(k,) for k in range(5)], "k bigint")
+    for first in (3, 2**62 - 1, 2**62, long + 1):
+        got = S.assign_record_ids(rows, ["k"], first).orderBy("k").collect()
+        assert [r["id"] for r in got] == [f"PSY-{first + k:06d}" for k in range(5)]
+        assert [int(r["number"]) for r in got] == [first + k for k in range(5)]

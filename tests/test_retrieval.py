@@ -193,3 +193,18 @@ def test_several_judges_of_an_item(spark):
     want = sorted((*r["item_id"].split("#"), r["seq"], r["score"], r["rank"]) for r in RT.similar_failures(long, memory).collect())
     got = RT.similar_failures(items, memory).select("item_id", "judge", "seq", "score", "rank").collect()
     assert sorted(tuple(r) for r in got) == want and len(want) > 4
+
+
+def test_unused_anchors_up_to_a_third_of_the_corpus(spark):
+    from pyspark.sql import functions as F
+
+    from quizmill.operators import retrieve as RT
+
+    docs = spark.range(3000).selectExpr("concat('c', id) AS chunk_id", "id % 7 AS source").repartition(7)
+    used = docs.where("source = 3").select("chunk_id").union(docs.where("source = 3").select("chunk_id"))
+    free = sorted((r["o"], r["chunk_id"]) for r in docs.where("source <> 3").select(F.md5("chunk_id").alias("o"), "chunk_id").collect())
+    for n in (0, 1, 1000, 5000):
+        got = RT.sample_unused(docs, used, n, order=F.md5("chunk_id"))
+        assert sorted(r["chunk_id"] for r in got.collect()) == sorted(c for _, c in free[:n])
+        assert got.columns == ["chunk_id", "source"]
+    assert RT.sample_unused(docs.limit(0), used, 5).count() == 0
