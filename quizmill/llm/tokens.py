@@ -1,13 +1,16 @@
 """Ids of whole texts by a tokenizer file, with one library call per distinct word.
 
 White space ends every word and is dropped by these tokenizers, so a text's ids are the ids of its
-words in order. Words already met in this worker are looked up; the table is emptied between texts
-once it holds ``limit`` words, which bounds memory and changes no result.
+words in order. Strings of the file's special tokens are cut out first and have their own ids, as the
+library gives them. Words already met in this worker are looked up; once the table holds ``limit`` words
+it becomes the older one, from which words that are met again are taken back, and the one before
+goes. This bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import public_tokenizers
 import regex
@@ -39,6 +42,7 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces: dict[str, bytes] = {}
+        self.older: tuple[dict[bytes, bytes], dict[str, bytes]] = {}, {}
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,9 +60,22 @@ class _Words(dict):
             pattern = steps[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
             self.split = regex.compile(pattern).findall
             assert r"\s" not in pattern
+        self.special = {t["content"].encode(): t["id"].to_bytes(4, "little") for t in spec["added_tokens"] if not t["normalized"]}
+        longest = sorted(self.special, key=len, reverse=True)
+        #: Splits a text at its special tokens, which are kept.
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if longest else None
         self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
+    def turn(self) -> None:
+        self.older = dict(self), self.pieces
+        self.clear()
+        self.pieces = {}
+
     def __missing__(self, word: bytes) -> bytes:
+        found = self.older[0].get(word)
+        if found is not None:
+            self[word] = found
+            return found
         text = word.decode("utf-8", "replace")
         if self.split is None:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -76,7 +93,7 @@ class _Words(dict):
         return found
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
+        found = self.pieces.get(text) or self.older[1].get(text)
         if found is None:
             plain = text.isascii() and text.isprintable() and " " not in text
             mapped = text if plain else "".join(map(self.letters.__getitem__, text.encode()))
@@ -89,7 +106,7 @@ class _Words(dict):
 class Encoder:
     """``ids(text)``: the text's ids as unsigned 32-bit little-endian bytes, with the end id."""
 
-    def __init__(self, path: str, end_id: int = END_ID, limit: int = 500_000):
+    def __init__(self, path: str, end_id: int = END_ID, limit: int = 600_000):
         self.path, self.limit = path, limit
         self.end = end_id.to_bytes(4, "little")
         self.words = _Words(path)
@@ -97,10 +114,15 @@ class Encoder:
         self.narrow = max(self.words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
 
     def ids(self, text: bytes | None) -> bytes:
-        if len(self.words) > self.limit:
-            self.words.clear()
-            self.words.pieces.clear()
-        return b"".join(map(self.words.__getitem__, (text or b"").split())) + self.end
+        words, text = self.words, text or b""
+        if len(words) > self.limit:
+            words.turn()
+        if words.cut is not None and b"<" in text:
+            parts = words.cut(text)
+            if len(parts) > 1:
+                found = [words.special.get(part) or b"".join(map(words.__getitem__, part.split())) for part in parts]
+                return b"".join(found) + self.end
+        return b"".join(map(words.__getitem__, text.split())) + self.end
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

@@ -23,7 +23,6 @@ from quizmill.llm import bpe, packing, quality, rans, tokens, toxicity  # noqa:
 
 def ids_of(text):
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, tokens.END_ID]
 
 
@@ -60,7 +59,7 @@ def test_bpe_of_long_texts_and_many_long_words():
         assert np.frombuffer(worker.known[w], "<u4").tolist() == worker.contract(w.encode())
 
 
-@pytest.mark.parametrize("text", ["a\x1cb c", "it's DON'T 's", "a\xa0b ﬁ ３４ Ⅷ½", "<|endoftext|>x", "\x00 \x85 é́", "İSTANBUL, ΣΑΣ. Straße, Ǆ. ªº. x.y, 's.", ""])
+@pytest.mark.parametrize("text", ["a\x1cb c", "it's DON'T 's", "a\xa0b ﬁ ３４ Ⅷ½", "<|endoftext|>x", "a<|startoftext|>B <|endoftext|><|endoftext|>\n< |endoftext|>", "<|EndOfText|> <|endoftext", "\x00 \x85 é́", "İSTANBUL, ΣΑΣ. Straße, Ǆ. ªº. x.y, 's.", ""])
 def test_words_have_the_ids_of_whole_texts(text):
     got = np.frombuffer(tokens.encoder(tokens.default_path()).ids(text.encode()), "<u4").tolist()
     assert got == ids_of(text)
@@ -233,3 +232,11 @@ def test_held_out_fold(spark):
 def test_hashes_of_bytes(spark):
     got = bpe.decode(bpe.encode(docs(spark, [(1, "é\n")]))).select(quality.F.sha2("decoded", 256).alias("s")).first()
     assert got.s == hashlib.sha256("é\n".encode()).hexdigest()
+
+
+def test_words_survive_a_full_table():
+    coder = tokens.Encoder(tokens.default_path(), limit=40)
+    for seed in range(60):
+        text = " ".join(words(30, seed % 7) + words(5, seed)) + " <|endoftext|>, end."
+        assert np.frombuffer(coder.ids(text.encode()), "<u4").tolist() == ids_of(text)
+        assert len(coder.words) <= 40 + 60 and len(coder.words.older[0]) <= 40 + 60
