@@ -208,3 +208,46 @@ def test_unused_anchors_up_to_a_third_of_the_corpus(spark):
         assert sorted(r["chunk_id"] for r in got.collect()) == sorted(c for _, c in free[:n])
         assert got.columns == ["chunk_id", "source"]
     assert RT.sample_unused(docs.limit(0), used, 5).count() == 0
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_a_table_searched_for_its_own_rows(spark, path):
+    """Also in blocks, where both sides are shuffled."""
+    from quizmill.storage import materialize
+
+    rows = [(i, i % 3, v) for i, v in vectors(random.Random(9), 40)]
+    table = materialize(spark.createDataFrame(rows, "id bigint, section bigint, embedding array<float>"), "own")
+    found = RT.vector_topk(
+        table.withColumnRenamed("id", "node"), table.withColumnRenamed("id", "partner"), 1, "node", "partner", group="section", force=path
+    )
+    assert sorted((r["node"], r["partner"]) for r in found.collect()) == [(i, i) for i in range(40)]
+
+
+def test_blocks_meet_within_their_groups_only(spark):
+    """A judge's memories are copied for the blocks of that judge's questions alone."""
+    from pyspark.sql import functions as F
+
+    from quizmill.operators import topk
+
+    # four groups in buckets of their own
+    names = spark.range(60).selectExpr("concat('g', id) AS group").withColumn("b", F.pmod(F.xxhash64("group"), F.lit(topk.BUCKETS)).cast("int"))
+    names = [r["group"] for r in names.groupBy("b").agg(F.min("group").alias("group")).orderBy("b").limit(4).collect()]
+    group = F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 4 + 1).cast("int"))
+    side = spark.range(400).select("id", group.alias("group"), F.array(F.lit("sun"), F.col("id").cast("string")).alias("words"))
+    bucket = F.pmod(F.xxhash64("group"), F.lit(topk.BUCKETS)).cast("int")
+    plan = topk._blocks(
+        side.withColumn("_bucket", bucket), side.where(F.col("group") != names[0]).withColumn("_bucket", bucket), 50
+    )
+    assert sorted(n for _, *n in plan) == [[2, 2]] * 3
+
+
+def test_texts_of_evidence_join_after_the_choice(spark):
+    items = spark.createDataFrame([(1, "theory", 2), (2, "clinical_scenario", 3)], "query_id bigint, level string, evidence_limit int")
+    pages = spark.createDataFrame([(f"c{i}", "  " if i == 2 else f"text {i}") for i in range(8)], "chunk_id string, page_content string")
+    rows = [(q, f"c{i}", "tier_1", "tier_1", "textbook", 1.0 / (i + 1), i + 1) for q in (1, 2) for i in range(6)]
+    kind = "query_id bigint, chunk_id string, tier string, source_tier string, source_kind string, score double, rank bigint"
+    found, reserved = spark.createDataFrame(rows, kind), spark.createDataFrame([(2, "c7", "tier_1", "tier_1", "dsm5", 0.5, 1)], kind)
+    want = RT.compose_evidence(items, reserved.join(pages, "chunk_id"), found.join(pages, "chunk_id"))
+    got = RT.compose_evidence(items, reserved, found, pages=pages)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert [r["chunk_id"] for r in got.orderBy("query_id", "rank").collect()] == ["c0", "c1", "c7", "c0", "c1"]
