@@ -84,7 +84,7 @@ def jsonl_files(spark, d, bad: bool):
     if bad:
         extra = V.table(spark, d, "nation").select(F.explode(F.array(F.lit('{"id": "PSY-9'), F.lit("not json"))).alias("value"))
     path = new_path(spark, "jsonl")
-    lines.unionByName(extra).repartition(4).write.text(path)
+    lines.unionByName(extra).repartition("value").write.text(path)
     return path
 
 
