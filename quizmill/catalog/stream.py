@@ -27,7 +27,7 @@ SELECT id, CASE WHEN len(issues) = 0 THEN 'verified' ELSE 'quarantine' END AS si
 def t01(spark, d):
     base = new_path(spark, "stream-gate")
     items = items_with_reports(spark, d).drop("doc_id", "reports", "source", "lang", "method", "origin")
-    items.repartition(8).write.json(f"{base}/in")
+    items.repartition("id").write.json(f"{base}/in")
     stream = flows.read_json_stream(spark, f"{base}/in", flows.ITEM, files_per_trigger=3)
     flows.stream_gate(stream, f"{base}/out", f"{base}/state").awaitTermination()
     out = None
