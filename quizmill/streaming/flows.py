@@ -14,7 +14,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quizmill import constants as C
@@ -157,14 +156,19 @@ def stream_unused_anchors(
     chunks: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, used: DataFrame | None = None
 ) -> StreamingQuery:
     """Pass each chunk id on once, also over restarts, and none of ``used`` (chunk_id), from which the first
-    state is filled. The ids lie on the executors' disks; memory holds a bounded part of them."""
+    state is filled. The ids lie on the executors' disks; memory holds a bounded part of them.
+
+    Without ``used`` no Python runs by key. The two forms keep different states, and the engine refuses one on
+    the other's checkpoint: a stream that began with ``used`` goes on with a table, be it empty."""
     spark = chunks.sparkSession
+    named = chunks.where("chunk_id IS NOT NULL")
     if used is None:
-        used = spark.createDataFrame([], T.StructType([chunks.schema["chunk_id"]]))
-    known = used.select("chunk_id").where("chunk_id IS NOT NULL").distinct()
-    once = chunks.where("chunk_id IS NOT NULL").groupBy("chunk_id").transformWithStateInPandas(
-        _Once(), chunks.schema, "Append", "None", initialState=known.groupBy("chunk_id")
-    )
+        once = named.dropDuplicates(["chunk_id"])
+    else:
+        known = used.select("chunk_id").where("chunk_id IS NOT NULL").distinct()
+        once = named.groupBy("chunk_id").transformWithStateInPandas(
+            _Once(), chunks.schema, "Append", "None", initialState=known.groupBy("chunk_id")
+        )
     with _rocksdb(spark):
         return (
             once.writeStream.format("parquet").option("path", out)

@@ -59,3 +59,16 @@ def test_settings_are_given_back(spark, tmp_path):
     with flows._rocksdb(spark):
         assert "RocksDB" in spark.conf.get(key)
     assert spark.conf.get(key, None) == before
+
+
+def test_anchors_without_earlier_ids_need_no_python_by_key(spark, tmp_path):
+    seen = set()
+    for run, ids in enumerate([["c1", "c3", "c3", None], ["c3", "c2"], ["c1", "c5"]]):
+        write(tmp_path / "in", str(run), [{"chunk_id": c, "source": f"s{run}"} for c in ids])
+        stream = flows.read_json_stream(spark, str(tmp_path / "in"), CHUNK)
+        query = flows.stream_unused_anchors(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        seen |= {c for c in ids if c}
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert sorted(r["chunk_id"] for r in rows) == sorted(seen)
+    assert [s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]][0] == "dedupe"
