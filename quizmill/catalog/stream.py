@@ -42,10 +42,10 @@ def t01(spark, d):
 @query("T02_stream_recurring_issues", "fails", "SELECT issue FROM fails GROUP BY issue HAVING count(*) >= 3")
 def t02(spark, d):
     base = new_path(spark, "stream-issues")
-    V.fails(spark, d).repartitionByRange(6, "seq").write.json(f"{base}/in")
-    stream = flows.read_json_stream(
-        spark, f"{base}/in", "issue string, seq bigint, feedback string", files_per_trigger=2
-    )
+    V.fails(spark, d).repartitionByRange("seq").write.json(f"{base}/in")
+    schema = "issue string, seq bigint, feedback string"
+    files = len(spark.read.schema(schema).json(f"{base}/in").inputFiles())  # as many as the data asks for
+    stream = flows.read_json_stream(spark, f"{base}/in", schema, files_per_trigger=max(1, -(-files // 3)))
     flows.stream_recurring_issues(stream, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("issue")
 

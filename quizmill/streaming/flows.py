@@ -1,8 +1,8 @@
 """Continuous forms of the gate, the issue counter and the anchor filter.
 
-Every record is written exactly once across restarts: the gate's micro-batches write to folders of their
-own, replaced when a batch is run again; the others write through the engine's file log, with state
-by key on the executors' disks (RocksDB) and its changes in the checkpoint.
+Every record is written exactly once across restarts: the micro-batches of the gate and of the issue counter
+write to folders of their own, replaced when a batch is run again; the anchor filter writes through the
+engine's file log. State by key is on the executors' disks (RocksDB) and its changes in the checkpoint.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -19,6 +21,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from quizmill import constants as C
 from quizmill.functions import records as R
 
+#: Rows of counts held before they are summed.
+SUM_ROWS = 200_000
+
 ITEM = (
     "id string, level string, difficulty string, question string, options map<string,string>, "
     "answer string, cited array<string>, rationale_short string, audit_steps array<string>, "
@@ -81,27 +86,6 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-class _Threshold(StatefulProcessor):
-    """Events of an issue so far, and whether it was given out."""
-
-    def __init__(self, threshold: int):
-        self.threshold = threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long, emitted boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, emitted = self.seen.get() if self.seen.exists() else (0, False)
-        n += int(sum(part["n"].sum() for part in rows))
-        if not emitted and n >= self.threshold:
-            emitted = True
-            yield pd.DataFrame({"issue": [key[0]], "support": [n]})
-        self.seen.update((n, emitted))
-
-    def close(self) -> None:
-        pass
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts within a task, so that a frequent issue is a row a batch of rows."""
     for batch in batches:
@@ -111,6 +95,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each issue of a task, with the number of the micro-batch. Memory holds the task's issues."""
+    number = int(TaskContext.get().getLocalProperty("streaming.sql.batchId"))
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, SUM_ROWS
+
+    def total() -> list[pa.RecordBatch]:
+        found = pa.Table.from_batches(held).group_by("issue").aggregate([("n", "sum")])
+        return found.select(["issue", "n_sum"]).rename_columns(["issue", "n"]).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > limit:
+            held = total()
+            size = sum(b.num_rows for b in held)
+            limit = 2 * size + SUM_ROWS
+    for batch in total() if held else []:
+        yield batch.append_column("batch", pa.array(np.full(batch.num_rows, number)))
+
+
 def stream_recurring_issues(
     events: DataFrame, out: str, checkpoint: str, threshold: int = C.REPEAT_THRESHOLD,
     trigger: dict | None = None,
@@ -118,15 +123,21 @@ def stream_recurring_issues(
     """Emit each issue once, in the batch in which its running count reaches the threshold.
 
     A micro-batch reads and changes the state of its own issues only; what was emitted before is never
-    read again. ``out`` gets (issue, support).
+    read again. The state is the engine's own aggregation: the count, and how much of it the issue's last
+    batch added, so that the batch that crosses the threshold is known and no Python runs by key. ``out`` gets
+    (issue, support), a folder a batch. The threshold is fixed for a checkpoint.
     """
     counts = events.select("issue").mapInArrow(_counted, "issue string, n long").where("issue IS NOT NULL")
-    over = counts.groupBy("issue").transformWithStateInPandas(
-        _Threshold(threshold), "issue string, support long", "Append", "None"
-    )
+    once = counts.repartition("issue").mapInArrow(_summed, "issue string, n long, batch long")
+    totals = once.groupBy("issue").agg(F.sum("n").alias("support"), F.max_by("n", "batch").alias("added"))
+    crossed = totals.where((F.col("support") >= threshold) & (F.col("support") - F.col("added") < threshold))
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
     with _rocksdb(events.sparkSession):
         return (
-            over.writeStream.format("parquet").option("path", out)
+            crossed.select("issue", "support").writeStream.outputMode("update").foreachBatch(flush)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()

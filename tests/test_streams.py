@@ -72,3 +72,20 @@ def test_anchors_without_earlier_ids_need_no_python_by_key(spark, tmp_path):
         rows = spark.read.parquet(str(tmp_path / "out")).collect()
         assert sorted(r["chunk_id"] for r in rows) == sorted(seen)
     assert [s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]][0] == "dedupe"
+
+
+def test_recurring_issues_need_no_python_by_key(spark, tmp_path):
+    """Issues that cross in the middle, at once and far over the threshold; a run without new files; another key order."""
+    runs = [["a", "b", "b", None], ["a", "b", "hot", "hot", "hot", "c"], [], ["a", "b", "hot", "c", "c"], ["c", "a"]]
+    counts, emitted = Counter(), {}
+    for run, issues in enumerate(runs):
+        if issues:
+            write(tmp_path / "in", str(run), [{"issue": i, "seq": n} for n, i in enumerate(issues)])
+        counts.update(i for i in issues if i)
+        emitted |= {i: n for i, n in counts.items() if n >= 3 and i not in emitted}
+        stream = flows.read_json_stream(spark, str(tmp_path / "in"), EVENT)
+        query = flows.stream_recurring_issues(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert sorted((r["issue"], r["support"]) for r in rows) == sorted(emitted.items())
+    assert [s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]][0] == "stateStoreSave"
