@@ -7,7 +7,8 @@ neighbouring ids to the merge table and contracts every word's leftmost pair of
 without such a pair are done. Decoding joins ids to the tokens and aggregates them in order.
 
 Words longer than ``LONG`` bytes, whose steps would each pass over all their positions, are contracted
-pair by pair with a heap, in the same order; the table of known words is emptied at ``KNOWN`` words.
+pair by pair with a heap, in the same order. At ``KNOWN`` words the table of known words becomes the older one,
+from which words that are met again are taken back; the one before goes.
 Words go to queries by the rows that their steps may have, and ids are decoded in runs of ``RUN``, joined in
 order, so a text may be of any length. All of these bound time and memory and change no result.
 
@@ -78,6 +79,7 @@ class Bpe:
         self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         pairs, merged = [], []
         for token, rank in self.ranks.items():
@@ -174,8 +176,12 @@ class Bpe:
         """Ids of every text as unsigned 32-bit little-endian bytes."""
         split = [self.find(t) for t in texts]
         if len(self.known) > KNOWN:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         fresh = set().union(*split) - self.known.keys()
+        again = fresh & self.older.keys()
+        if again:
+            self.known |= {w: self.older[w] for w in again}
+            fresh -= again
         if fresh:
             self.learn(list(fresh))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]

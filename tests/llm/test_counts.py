@@ -240,3 +240,16 @@ def test_words_survive_a_full_table():
         text = " ".join(words(30, seed % 7) + words(5, seed)) + " <|endoftext|>, end."
         assert np.frombuffer(coder.ids(text.encode()), "<u4").tolist() == ids_of(text)
         assert len(coder.words) <= 40 + 60 and len(coder.words.older[0]) <= 40 + 60
+
+
+def test_bpe_takes_older_words_back(monkeypatch):
+    """A full table becomes the older one: frequent words are not learned again, ids stay the same."""
+    worker = bpe.Bpe(P.path(bpe.RANKS), P.PATTERN)
+    monkeypatch.setattr(bpe, "KNOWN", 50)
+    learned, learn = [], worker.learn
+    monkeypatch.setattr(worker, "learn", lambda words: (learned.extend(words), learn(words)))
+    texts = [" often met" + "".join(f" w{k}x{j}" for j in range(20)) for k in range(20)]
+    got = [worker.encode([t])[0] for t in texts]
+    assert learned.count(" often") == learned.count(" met") == 1
+    assert len(worker.known) + len(worker.older) <= 2 * (50 + 100)
+    assert got == bpe.Bpe(P.path(bpe.RANKS), P.PATTERN).encode(texts)
