@@ -51,8 +51,9 @@ class ChunkCollection:
             return None
         return self.spark.read.option("basePath", f"{self.base}/chunks").parquet(*paths).drop("version")
 
-    def incoming(self, rows: DataFrame) -> DataFrame:
-        """One row of each key with its bucket and fingerprints of the whole row and of the text."""
+    def incoming(self, rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+        """One row of each key with its bucket and fingerprints of the whole row and of the text; with ``stored``
+        those only that are new or changed, found by keys and fingerprints before any whole row is moved."""
         rows = rows.withColumn("chunk_id", F.coalesce(F.nullif(chunk_key(rows), F.lit("")), F.md5("content")))
         rows = backfill_tier(rows.where(F.col("chunk_id").isNotNull()), self.default_tier)
         own = [c for c in rows.columns if c != "chunk_id" and not c.startswith("_source")]
@@ -60,6 +61,11 @@ class ChunkCollection:
             "fingerprint": F.sha2(F.to_json(F.struct(*own)), 256),
             "text_mark": F.md5(F.coalesce(X.first_text(F.col("content"), F.col("summary")), F.lit(""))),
         })
+        if stored is not None:
+            key = ["chunk_id", "fingerprint"]
+            latest = marked.groupBy("chunk_id").agg(F.max("fingerprint").alias("fingerprint"))
+            changed = materialize(latest.join(stored.select(key), key, "left_anti"), "changed-keys")
+            marked = marked.join(changed, key, "left_semi")
         rest = [c for c in marked.columns if c not in ("chunk_id", "fingerprint")]
         one = marked.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), "fingerprint").alias("r"), F.max("fingerprint").alias("fingerprint"))
         return one.select(
@@ -72,10 +78,10 @@ class ChunkCollection:
         return self.import_rows(K.read_chunk_json(self.spark, directory, source_tier=source_tier, pattern=pattern))
 
     def import_rows(self, rows: DataFrame) -> dict[str, int]:
-        new, stored = self.incoming(rows), self.read()
+        stored = self.read()
+        new = self.incoming(rows, stored)
         touched: set[int] = set()
         if stored is not None:
-            new = new.join(stored.select("chunk_id", "fingerprint"), ["chunk_id", "fingerprint"], "left_anti")
             lacking = stored.where(self.lacks()).select("bucket").distinct()
             touched |= {r["bucket"] for r in lacking.collect()}  # ``buckets`` at most
         new = materialize(new, "changed")
@@ -86,7 +92,9 @@ class ChunkCollection:
             return report
         old = self.read(sorted(touched)) if stored is not None else None
         whole = self.merged(new, old)
-        todo = materialize(whole.where(self.lacks()).select("chunk_id", self.text().alias("text")), "todo")
+        todo = whole.where(self.lacks()).select("chunk_id", self.text().alias("text"))
+        if old is not None:  # else it is read from the changed rows, which are written already
+            todo = materialize(todo, "todo")
         report["embedded"] = todo.count()
         vectors = embed_texts(todo, "chunk_id", "text", self.embed, self.model, self.batch_size)
         vectors = RT.check_dimension(vectors.where(F.col("embedding").isNotNull()), self.dim)

@@ -205,3 +205,26 @@ def test_a_stopped_import_is_not_seen(spark, tmp_path, monkeypatch):
         store.import_rows(rows)
     assert sorted(r["chunk_id"] for r in store.read().collect()) == before
     assert store.import_rows(rows)["changed"] == 6 and store.read().count() == 9
+
+
+def test_collection_drops_what_is_stored_before_rows_are_moved(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quizmill.plans.collection import ChunkCollection
+
+    store = ChunkCollection(spark, str(tmp_path / "base"), lambda t: [[1.0] for _ in t], "m", 1, buckets=4)
+
+    def rows(*texts):
+        own = spark.createDataFrame([(f"c{k}", t) for k, t in texts], "uuid string, content string")
+        empty = {c: F.lit(None).cast(chunks.CHUNK[c].dataType) for c in chunks.CHUNK.names if c not in own.columns}
+        return own.withColumns(empty)
+
+    first = rows((1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "d"))
+    report = store.import_rows(first)
+    assert (report["changed"], report["embedded"]) == (3, 3)
+    assert set(store.import_rows(first).values()) == {0}
+    assert store.incoming(first, store.read()).count() == 0
+    again = store.incoming(rows((1, "a"), (2, "b"), (2, "c"), (3, "e"), (4, "f")), store.read())
+    assert sorted((r["chunk_id"], r["content"]) for r in again.collect()) == [("c3", "e"), ("c4", "f")]
+    report = store.import_rows(rows((3, "e"), (4, "f")))
+    assert (report["changed"], report["embedded"]) == (2, 2) and store.read().count() == 4
