@@ -41,12 +41,17 @@ def evaluate(records: DataFrame, labels: DataFrame, samples: int = C.BOOTSTRAP_S
     """All rates, counts and distributions per method.
 
     Needs ``method, id, origin, draft, refs, validation, difficulty, level``. The records are
-    read once for the rates; wide partial sums leave each task, not rows.
+    read once: their texts are judged before the labels join, and what is left of each is kept for rates,
+    counts and distributions.
     """
-    df = with_labels(records, labels)
     internal = rates.internal_values(
         F.col("draft"), F.col("refs"), F.col("origin"), F.col("validation")
     )
+    judged = records.select("method", "id", "origin", "difficulty", "level", F.struct(
+        *[value.alias(name) for name, value in internal.items()]
+    ).alias("internal"))
+    df = materialize(with_labels(judged, labels), "judged")
+    internal = {name: F.col("internal")[name] for name in internal}
     expert = {f"expert:{f}": F.col("labels")[f] for f in C.AUDIT_FIELDS}
     # A few rows per method: written once, so that no later step reads the records again.
     both = materialize(

@@ -228,3 +228,15 @@ def test_collection_drops_what_is_stored_before_rows_are_moved(spark, tmp_path):
     assert sorted((r["chunk_id"], r["content"]) for r in again.collect()) == [("c3", "e"), ("c4", "f")]
     report = store.import_rows(rows((3, "e"), (4, "f")))
     assert (report["changed"], report["embedded"]) == (2, 2) and store.read().count() == 4
+
+
+def test_strict_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(50)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes of text files say nothing about their blocks
+    try:
+        rows = jsonl.read_strict(spark, str(tmp_path), "n int")
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["n"] for r in rows.collect()) == list(range(50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
