@@ -10,7 +10,7 @@ is lower, and only the others are read. Rare terms weigh most, so their blocks c
 ``SubstringIndex`` finds the first documents by id that hold a word as part of any of their words. It keeps,
 for every distinct word, the first ``depth`` ids that have it, and which words hold each sequence of one to
 three characters. A search takes the rarest sequence of the asked word, tests the words that have
-it, and merges their ids: no text is looked at again.
+it, and merges the ids of those that begin early enough: no text is looked at again.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quizmill.functions import text as X
 from quizmill.operators.evidence import top_rows
 from quizmill.operators.retrieve import searchable, words
-from quizmill.operators.topk import Bm25, _best, _candidates, _flat, _ids, _round6
+from quizmill.operators.topk import BLOCK_BYTES, Bm25, _best, _candidates, _flat, _ids, _measure, _round6
 from quizmill.storage import materialize
 
 FIELDS = ("content", "title", "summary", "keywords")
@@ -38,6 +39,14 @@ BUCKETS = 32
 #: Queries scored together in a task, and blocks of a query that are scored before any is ruled out.
 TOGETHER, FIRST = 256, 2
 K1, B = Bm25.k1, Bm25.b
+#: Asked words that are sent to the index instead of the index to them.
+ASKED_ROWS = 200_000
+
+
+def _sent(asked: DataFrame) -> DataFrame:
+    """A table of asked words, broadcast if it is proven small; reads little more than the bound."""
+    rows, total = _measure(asked.limit(ASKED_ROWS + 1))
+    return F.broadcast(asked) if rows <= ASKED_ROWS and total <= BLOCK_BYTES else asked
 
 
 def _postings(doc_type: T.DataType):
@@ -205,8 +214,9 @@ class TextIndex:
 
 
 def _grams(token: Column, size: int) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token) - (size - 1)))
-    return F.when(F.length(token) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(token, i, F.lit(size)))))
+    """All sequences of ``size`` characters, each once; a look ahead from every character, so linear in the length."""
+    parts = F.regexp_extract_all(token, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+    return F.when(F.length(token) >= size, F.array_distinct(parts))
 
 
 @dataclass
@@ -225,9 +235,9 @@ class SubstringIndex:
         # a rank with a literal bound: each task gives at most ``depth`` rows of a word
         first = top_rows(tokens, "token", ["doc"], depth, depth)
         first.groupBy("token").agg(F.array_sort(F.collect_list("doc")).alias("docs")).write.mode("overwrite").parquet(f"{path}/tokens")
-        token = corpus.sparkSession.read.parquet(f"{path}/tokens").select("token")
+        token = corpus.sparkSession.read.parquet(f"{path}/tokens").select("token", F.get("docs", F.lit(0)).alias("first"))
         grams = F.flatten(F.filter(F.array(*(_grams(F.col("token"), n) for n in (1, 2, 3))), lambda x: x.isNotNull()))
-        token.select(F.explode(grams).alias("gram"), "token").write.mode("overwrite").parquet(f"{path}/grams")
+        token.select(F.explode(grams).alias("gram"), "token", "first").write.mode("overwrite").parquet(f"{path}/grams")
         made = cls(corpus.sparkSession, path, depth)
         made.read("grams").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
         return made
@@ -237,6 +247,10 @@ class SubstringIndex:
 
     def candidates(self, asked: DataFrame) -> DataFrame:
         """(word, token): the indexed words that hold each asked ``word``."""
+        return self._begun(asked).select("word", "token")
+
+    def _begun(self, asked: DataFrame) -> DataFrame:
+        """(word, token, first): the same, each with the first document of the indexed word."""
         size = F.least(F.lit(3), F.length("word"))
         parts = F.coalesce(*(F.when(size == n, _grams(F.col("word"), n)) for n in (1, 2, 3)))
         cut = asked.select("word", F.size(parts).alias("parts"), F.explode(parts).alias("gram"))
@@ -244,9 +258,8 @@ class SubstringIndex:
         rarest = cut.join(self.read("counts"), "gram").groupBy("word", "parts").agg(
             F.count(F.lit(1)).alias("known"), F.min_by("gram", F.struct("n", "gram")).alias("gram")
         )
-        return rarest.where("known = parts").select("word", "gram").join(self.read("grams"), "gram").where(
-            F.contains("token", F.col("word"))
-        ).select("word", "token")
+        rarest = materialize(rarest.where("known = parts").select("word", "gram"), "rarest")
+        return self.read("grams").join(_sent(rarest), "gram").where(F.contains("token", F.col("word"))).select("word", "token", "first")
 
     def search(
         self, queries: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "query", min_chars: int = 1
@@ -259,7 +272,10 @@ class SubstringIndex:
             (F.length("word") >= min_chars) & (F.col("word") != "")
         )
         asked = materialize(asked, "asked")
-        hits = self.candidates(asked.select("word").distinct()).join(self.read("tokens"), "token")
+        # ``k`` different first documents are hits: an indexed word whose first one is later adds none to the first ``k``
+        nearest = F.dense_rank().over(W.partitionBy("word").orderBy("first"))
+        near = self._begun(asked.select("word").distinct()).withColumn("_rank", nearest).where(F.col("_rank") <= k)
+        hits = near.select("word", "token").join(self.read("tokens"), "token")
         docs = hits.select("word", F.explode(F.slice("docs", F.lit(1), F.lit(k))).alias("doc"))
         first = docs.groupBy("word", "doc").agg(F.lit(1).alias("_one")).drop("_one")
         first = materialize(top_rows(first, "word", ["doc"], k, k).select("word", "doc"), "first")

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizmill.operators import retrieve as RT
+from quizmill.operators import textindex
 from quizmill.operators.textindex import SubstringIndex, TextIndex
+from quizmill.storage import materialize
 
 SCHEMA = "doc_id string, content string, title string, summary string, keywords array<string>"
 WORDS = ["stress", "sleep", "memory", "stresses", "Sleepless", "é", "a", "ab", "trẻ em", "anxiety-free", "x_1", "the", "the", "the", "the"]
@@ -91,3 +93,32 @@ def test_only_words_with_the_rarest_sequence_are_tested(spark, tmp_path):
     assert [tuple(r) for r in index.candidates(asked).collect()] == [("sses", "stresses")]
     plan = index.search(queries(spark), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan
+
+
+def test_index_tables_are_not_moved_to_few_asked_words(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = SubstringIndex.build(corpus(spark), str(tmp_path / "index"), depth=7)
+        asked = spark.createDataFrame([("sses",), ("a",)], "word string")
+        plan = index.candidates(asked)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_words_that_begin_late_are_ruled_out(spark, tmp_path, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().logical().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(textindex, "materialize", kept)
+    texts = spark.createDataFrame([(i, f"w{i}a same") for i in range(60)], "doc_id bigint, content string").selectExpr(
+        "*", "'' AS title", "'' AS summary", "array('') AS keywords")
+    index = SubstringIndex.build(texts, str(tmp_path / "index"), depth=7)
+    asked = spark.createDataFrame([(1, "a"), (2, "5"), (3, "𝒳")], "query_id bigint, query string")
+    found = index.search(asked, 7)
+    assert rows(found) == rows(RT.keyword_match(asked, texts, 7))
+    assert "dense_rank" in plans["first"]
