@@ -151,7 +151,7 @@ class TextIndex:
         postings = self.postings_of(asked)
         norm = K1 * (1 - B + B * F.col("shortest") / mean)
         bounds = (
-            asked.join(postings.select("term", "block", "most", "shortest"), "term")
+            postings.select("term", "block", "most", "shortest").join(_sent(asked), "term")
             .groupBy("query", "block")
             .agg(F.sum(F.col("idf") * F.col("most") * (K1 + 1) / (F.col("most") + norm)).alias("bound"))
         )
@@ -177,7 +177,7 @@ class TextIndex:
         group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
         wanted = pairs.select("query", "block").withColumn("group", group)
         left = wanted.join(asked, "query").select("block", "group", "query", "term", "idf")
-        lists = postings.select("term", "block", "slots", "counts").join(left.select("term", "block", "group").distinct(), ["term", "block"])
+        lists = postings.select("term", "block", "slots", "counts").join(_sent(left.select("term", "block", "group").distinct()), ["term", "block"])
         own = self.blocks().join(wanted.select("block", "group").distinct(), "block")
         right = lists.select("block", "group", "term", "slots", "counts", *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("docs", "lengths")))
         right = right.unionByName(own, allowMissingColumns=True)
