@@ -122,3 +122,21 @@ def test_words_that_begin_late_are_ruled_out(spark, tmp_path, monkeypatch):
     found = index.search(asked, 7)
     assert rows(found) == rows(RT.keyword_match(asked, texts, 7))
     assert "dense_rank" in plans["first"]
+
+
+def test_postings_are_not_moved_to_few_asked_terms(spark, tmp_path, monkeypatch):
+    joins = {}
+
+    def kept(df, name):
+        joins[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name)
+
+    index = TextIndex.build(corpus(spark), str(tmp_path / "index"))
+    monkeypatch.setattr(textindex, "materialize", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.search(queries(spark), 3)
+        assert "SortMergeJoin" not in joins["bounds"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
