@@ -14,7 +14,7 @@ File format, in ``path``:
 * ``payload``: little-endian; int64 number of ids, int64 number of words, int64 number of checkpoints,
   per checkpoint an int64 place in the words and ``LANES`` uint64 states, then the uint32 words.
 
-The ids' counts over all documents, the order and the sums before each file are Spark jobs.
+The ids' counts over all documents (each task counts what it encodes), the order and the sums before each file are Spark jobs.
 Defined results: a null or empty text has the end id only; null ids sort first; repeated ids keep one
 entry per row; an empty table writes no block. Other columns are not read.
 """
@@ -121,39 +121,48 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
+    """A row of ids for each text, and a row of all ids' counts (``n``, by id; the others null) for each task."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.encoder(path, end_id)
+        coder, sums, key = tokens.encoder(path, end_id), np.zeros(0, np.int64), None
+        width = "<u2" if coder.narrow else "<u4"
         for batch in batches:
-            out = []
+            out, key = [], batch.schema.field(0).type
             for text in batch.column(1):
                 buffer = text.as_buffer()
                 ids = coder.ids(buffer.to_pybytes() if buffer is not None else b"")
                 out.append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if coder.narrow else ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.binary())], names=schema.names
-            )
+            coded = np.frombuffer(b"".join(out), width)
+            for at in range(0, len(coded), SEGMENT):
+                sums = _added(sums, np.bincount(coded[at : at + SEGMENT]))
+            columns = [batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        if key is not None:
+            counts = pa.array([sums.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.binary()), counts], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
-def _counts(ids: DataFrame, width: str) -> DataFrame:
+def _added(sums: np.ndarray, more: np.ndarray) -> np.ndarray:
+    if len(more) > len(sums):
+        sums, more = more, sums
+    sums[: len(more)] += more
+    return sums
+
+
+def _counts(made: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
         for batch in batches:
-            # the ids of a batch lie in one buffer, one document after the other
-            offsets = np.frombuffer(batch.column(0).buffers()[1], np.int32)[batch.column(0).offset :]
-            data = batch.column(0).buffers()[2]
-            got = np.bincount(np.frombuffer(data, np.uint8)[offsets[0] : offsets[batch.num_rows]].view(width))
-            if len(got) > len(sums):
-                sums = np.concatenate([sums, np.zeros(len(got) - len(sums), np.int64)])
-            sums[: len(got)] += got
+            for x in batch.column(0):
+                sums = _added(sums, np.frombuffer(x.as_buffer(), "<i8").copy())
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "n"])
 
-    counted = ids.select("ids").mapInArrow(run, "id long, n long")
+    counted = made.where("n IS NOT NULL").select("n").mapInArrow(run, "id long, n long")
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -165,9 +174,9 @@ def write(
     spark = docs.sparkSession
     vocabulary = vocabulary or tokens.default_path()
     width = "<u2" if tokens.encoder(vocabulary, end_id).narrow else "<u4"
-    ids = materialize(tokenized(docs, id_col, text_col, vocabulary, end_id), "ids")
+    made = materialize(tokenized(docs, id_col, text_col, vocabulary, end_id), "ids")
     # at most one row per entry of the vocabulary
-    found = {r.id: r.n for r in _counts(ids, width).collect()}
+    found = {r.id: r.n for r in _counts(made).collect()}
     counts = np.zeros(max(found, default=-1) + 1, np.int64)
     counts[list(found)] = list(found.values())
     freq = shares(counts)
@@ -175,6 +184,7 @@ def write(
         [(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long"
     ).coalesce(1).write.parquet(f"{path}/freq")
 
+    ids = made.where("ids IS NOT NULL").select("doc_id", "ids")
     kind = ids.schema["doc_id"].dataType
     schema = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("part", "block", "begin", "n_tokens")]

@@ -41,6 +41,7 @@ class _Words(dict):
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.pieces: dict[str, bytes] = {}
         self.older: tuple[dict[bytes, bytes], dict[str, bytes]] = {}, {}
         self.letters = _byte_letters()
@@ -82,11 +83,13 @@ class _Words(dict):
             found = b"".join(i.to_bytes(4, "little") for i in ids)
         else:
             # below U+0250 the library's normaliser only makes letters small
-            text = text.lower() if text and max(text) < "\u0250" else self.tokenizer.normalizer.normalize_str(text)
+            small = text and (text.isascii() or max(text) < "\u0250")
+            text = text.lower() if small else self.tokenizer.normalizer.normalize_str(text)
             if text.isalpha():
-                found = self.piece(text)
+                found = self.pieces.get(text) or self.piece(text)
             elif text[-1:] in MARKS and text[:-1].isalpha():
-                found = self.piece(text[:-1]) + self.piece(text[-1])
+                head, mark = text[:-1], text[-1]
+                found = (self.pieces.get(head) or self.piece(head)) + (self.pieces.get(mark) or self.piece(mark))
             else:
                 found = b"".join(map(self.piece, self.split(text)))
         self[word] = found
@@ -98,8 +101,8 @@ class _Words(dict):
             plain = text.isascii() and text.isprintable() and " " not in text
             mapped = text if plain else "".join(map(self.letters.__getitem__, text.encode()))
             coded = self.coded
-            found = b"".join([coded[t.id] for t in self.tokenizer.model.tokenize(mapped)])
-            self.pieces[text] = found
+            found = b"".join([coded[t.id] for t in self.model.tokenize(mapped)])
+        self.pieces[text] = found
         return found
 
 

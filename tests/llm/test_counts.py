@@ -76,6 +76,16 @@ def test_token_files(spark, tmp_path):
     assert Counter(r[1:] for r in got) == want
 
 
+def test_ids_are_counted_where_they_are_made(spark):
+    some = docs(spark).repartition(3)
+    made = rans.tokenized(some, "doc_id", "text", tokens.default_path(), tokens.END_ID)
+    rows = made.where("ids IS NOT NULL").collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in some.collect())
+    want = np.bincount(np.concatenate([np.frombuffer(bytes(r.ids), "<u2") for r in rows]))
+    got = {r.id: r.n for r in rans._counts(made).collect()}
+    assert got == {int(i): int(want[i]) for i in np.flatnonzero(want)}
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     rans.write(docs(spark, []), str(tmp_path / "files"))
     assert rans.read(spark, str(tmp_path / "files")).count() == 0
